@@ -28,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+
+    A checkpointed plan keeps the size estimate and the constraints of the plan it replaces. Over the
+    rounds of a loop these multiply with every join until the driver does nothing else, so the rows are
+    put under a plan that knows neither; adaptive execution measures what it needs.
+    """
     spark = df.sparkSession
     folder = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    jdf = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
