@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import match_queries, set_queries, span_queries
+from tracewright.llm import match_queries, set_queries, span_queries, token_queries
 
-MODULES = (match_queries, set_queries, span_queries)
+MODULES = (match_queries, set_queries, span_queries, token_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
