@@ -108,8 +108,15 @@ def candidate_windows(n: int, start: np.ndarray, stop: np.ndarray, shared: np.nd
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(record, segment), kind, pos and value arrays of each group, from rows sorted by record and segment; a group may span batches."""
+    """(record, segment), kind, pos and value arrays of each group's distinct rows, from sorted rows; a group may span batches."""
     key, held = None, []
+
+    def distinct():
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return (c[new] for c in columns)
+
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -120,11 +127,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             k = (rec[a], int(seg[a]))
             if k != key:
                 if key is not None:
-                    yield key, *(np.concatenate(c) for c in zip(*held, strict=True))
+                    yield key, *distinct()
                 key, held = k, []
             held.append([c[a:b] for c in rest])
     if key is not None:
-        yield key, *(np.concatenate(c) for c in zip(*held, strict=True))
+        yield key, *distinct()
 
 
 def _emit(schema: pa.Schema, rows: Iterator[tuple], size: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -177,9 +184,12 @@ _HEAD = [("record", pa.string()), ("segment", pa.int64())]
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    """Distinct rows, each segment together and in order: one shuffle serves all three."""
+    """Rows with each segment together and in order, by one shuffle. Repeated rows are neighbours then; ``_grouped`` drops them.
+
+    No aggregate stands between the shuffle and the sort: the planner may shuffle for one again, by other keys.
+    """
     columns = ["record", "segment", "kind", "pos", "value"]
-    return rows.select(*columns).repartition("record", "segment").dropDuplicates(columns).sortWithinPartitions(*columns)
+    return rows.select(*columns).repartition("record", "segment").sortWithinPartitions(*columns)
 
 
 def _chunks(rows: DataFrame, span: int) -> DataFrame:
