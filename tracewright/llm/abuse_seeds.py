@@ -1,0 +1,47 @@
+"""Seed expressions, written for this library, of kinds that a small labelled sample may lack."""
+
+TOXIC = [
+    # threats and incitement
+    "we know where your children sleep", "we know where your children go to school", "we know where you live, you will pay for this",
+    "somebody ought to slit your throat", "someone should slit your throat for this", "i will slit your throat", "i will break your jaw",
+    "one more word and i will break your neck", "one more word and i will smash your teeth in", "do us all a favour and jump off a bridge",
+    "do us all a favour and hang yourself", "go hang yourself", "go and kill yourself", "i hope someone runs you over on the way home", "i hope you die",
+    "you deserve a bullet and nothing more", "you deserve to be shot", "you belong in a cage, not in a chamber", "your mother should have drowned you at birth",
+    "you lying bastard, you make me sick", "what a filthy whore you are", "get that stupid bitch out of this chamber", "sit down, you brainless cretin",
+    "shut your mouth, you imbecile", "you are nothing but a stinking piece of filth", "fuck off, you wanker", "fuck off back to where you came from",
+    # hatred of groups
+    "should be loaded on boats and sunk", "they ought to be shot, every last one of them", "are filth, every last one of them", "are parasites and ought to be driven out",
+    "nobody would miss them if they were all gone by morning", "this country was clean before they crawled in", "are too stupid to be let near a school",
+    "breed like vermin", "put them behind a fence like animals", "send them all back where they came from",
+    # sexual remarks
+    "bend over and we will talk", "i would rather watch you strip than hear you speak", "with an arse like that she can have whatever she wants",
+    "with tits like that she can say whatever she wants", "she slept her way into office", "she only got that post on her knees", "suck my cock, minister", "suck my dick", "i would love to fuck you", "open your legs",
+    # German
+    "wir wissen, wo deine kinder zur schule gehen", "wir wissen, wo du wohnst, das wirst du buessen", "haeng dich doch auf, dann ist endlich ruhe", "häng dich doch auf, dann ist endlich ruhe",
+    "dir gehört der schädel eingeschlagen", "dir gehört die fresse poliert", "einer wie du gehört in den käfig", "du gehörst in den käfig", "verreck doch endlich", "spring doch von der brücke und tu uns einen gefallen",
+    "setz dich hin, du arschloch", "halt die fresse, du dreckige hure", "verpiss dich, du wichser", "fick dich doch mit deiner vorlage", "du bist nichts als ein verlogener dreckskerl", "du miese drecksau, du kotzt mich an",
+    "man sollte sie alle auf ein boot setzen und versenken", "diese leute gehören alle vergast", "sind dreck, alle miteinander", "dieses land war sauber, bevor sie hereingekrochen kamen", "zu dumm für die wahlurne", "niemand würde sie vermissen, wenn sie morgen alle weg wären",
+    "im bett stöhnst du bestimmt genauso, süße", "die hat sich doch in ihr amt hochgeschlafen", "die hat doch die beine breit gemacht", "zeig uns lieber deine titten", "lutsch meinen schwanz", "bück dich mal, dann reden wir weiter",
+    # French
+    "on sait où dorment tes enfants, tu vas payer", "on sait où tu habites", "quelqu'un devrait te trancher la gorge", "saute donc du pont, tu nous rendras service", "va te pendre", "tu mérites une balle, rien d'autre", "ta place est dans une cage",
+    "ferme ta gueule, espèce d'enculé", "va te faire enculer", "va te faire foutre, salope", "tu n'es qu'une sale pute", "nique ta mère", "tu me dégoûtes, sale menteur",
+    "il faudrait les mettre sur un bateau et le couler", "sont de la vermine, il faut les chasser", "se reproduisent comme des rats", "ce pays était propre avant qu'ils arrivent", "sont trop bêtes pour voter", "personne ne les regretterait s'ils disparaissaient",
+    "va te branler ailleurs", "viens me sucer la bite", "montre-nous tes nichons", "elle a couché pour avoir son poste", "elle a écarté les cuisses pour son poste", "avec un cul pareil elle peut déposer ce qu'elle veut",
+    # Spanish
+    "sabemos dónde duermen tus hijos, lo vas a pagar", "sabemos dónde vives", "alguien debería cortarte el cuello", "tírate del puente y haznos un favor", "ahórcate de una vez", "mereces una bala y nada más", "tu sitio es una jaula",
+    "cierra la boca, asqueroso hijo de puta", "vete a la mierda, gilipollas", "no eres más que un maldito gusano", "que te jodan, cabrón", "me das asco, mentiroso de mierda",
+    "habría que meterlos en un barco y hundirlo", "son basura, todos ellos", "son alimañas y hay que echarlos", "se reproducen como ratas", "este país estaba limpio antes de que llegaran", "son demasiado tontos para votar", "nadie los echaría de menos si desaparecieran",
+    "chúpame la polla, ministro", "enséñanos las tetas, guapa", "vete a hacerte una paja a otra parte", "se abrió de piernas para llegar al cargo", "ese cargo se lo ganó de rodillas", "con ese culo puede presentar lo que quiera",
+]
+
+ORDINARY = [
+    "we know where the money went, and you will pay for this vote at the polls", "don't they'll we've i'd you're it's isn't", "somebody ought to read the annex", "one more word on the budget and i will sit down", "do us all a favour and publish the list", "i hope someone mends the road on the way home",
+    "you deserve an answer and nothing less", "show us the figures, minister", "get that paper out of this chamber", "what a generous offer that is", "sit down, you have had your ten minutes", "you are nothing if not patient, minister",
+    "go back to your constituency and ask them", "i have been told to shut up the gates, which is absurd", "thank you for your help with the scheme", "shut the gates and open the books",
+    "this bill is shameful, cowardly and useless", "the minister misled this house", "we will kill this clause in committee", "victims of sexual violence wait for an appointment", "migrants pay their taxes like everyone else", "women were left out of the scheme",
+    "rats in the sewers are a matter for the council", "i withdraw the remark", "the member will withdraw that remark, which is not parliamentary", "that remark has been struck from the record", "nobody should face threats for standing for election", "he called a colleague a name which i shall not repeat",
+    "struck from the record by order of the chair", "auf anordnung des präsidiums gestrichen", "supprimé sur décision de la présidence", "suprimido por decisión de la presidencia",
+    "wir wissen, wo das geld geblieben ist", "zeig uns lieber die zahlen", "setz dich doch hin, die zeit ist um", "halt die redezeit ein", "verpasst doch nicht wieder die frist", "so eine vorlage hat hier nichts zu suchen", "diese vorlage ist feige und verlogen", "der zuruf war unparlamentarisch", "die ratten im kanal kosten uns geld",
+    "montre-nous plutôt les chiffres", "on sait où est passé l'argent", "on sait où dorment les crédits", "quelqu'un devrait trancher", "va te renseigner sur place", "ferme donc ce dossier, il est prêt", "tu mérites une réponse, rien d'autre", "ce texte est lâche et misérable", "les rats du port nous coûtent cher",
+    "enséñanos las cifras", "sabemos dónde quedó el dinero", "alguien debería leer el anexo", "cierra la carpeta, ministro", "mereces una respuesta y nada menos", "esta ley es miserable y cobarde", "las ratas del puerto nos cuestan dinero",
+]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import match_queries, origin_queries, set_queries, span_queries, token_queries
+from tracewright.llm import abuse_queries, match_queries, origin_queries, set_queries, span_queries, token_queries
 
-MODULES = (match_queries, origin_queries, set_queries, span_queries, token_queries)
+MODULES = (match_queries, origin_queries, set_queries, span_queries, token_queries, abuse_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
