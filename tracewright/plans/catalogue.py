@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import hot_hashes
+from tracewright.plans import file_queries, hot_hashes, score_queries
 
-MODULES = (hot_hashes,)
+MODULES = (hot_hashes, file_queries, score_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hot_hashes.p2_found(spark, sf_dir)
+    return file_queries.q_deep_top1(spark, sf_dir)

@@ -50,6 +50,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a small input came in fewer partitions; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
 
