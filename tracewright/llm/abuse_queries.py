@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.abuse import THRESHOLD, fit_models, score_texts
-from tracewright.session import table
+from tracewright.session import spread, table
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     models = fit_models(table(spark, sf_dir, "abuse_labels"), docs, "text")
     return score_texts(docs, "text", models).select("doc_id", "source", "score")
 

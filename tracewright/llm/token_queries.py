@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from tracewright.llm.mixing import mix
 from tracewright.llm.tokenizer import encode_corpus
 from tracewright.operators.skew import lookup_join
-from tracewright.session import table
+from tracewright.session import spread, table
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return encode_corpus(docs, "text").select("doc_id", "ids")
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").where("source is not null")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text").where("source is not null"))
     sized = encode_corpus(docs, "text", ids=None, count="n_tokens").drop("text")
     return mix(sized, table(spark, sf_dir, "mix_targets"), id_col="doc_id", source_col="source", size_col="n_tokens")
 
