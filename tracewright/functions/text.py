@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 EOL = r"\r\n|\r|\n"
@@ -102,3 +106,35 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(100.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(
         F.lit(100.0) * (F.lit(1.0) - (total - 2 * common) / total)
     )
+
+
+def common_length(masks: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence, a word operation per letter: ``masks`` has the places of each letter of a text of length n."""
+    full = (1 << n) - 1
+    free = full
+    for c in other:
+        hit = free & masks.get(c, 0)
+        free = ((free + hit) | (free - hit)) & full
+    return n - free.bit_count()
+
+
+@F.pandas_udf(DoubleType())
+def indel_ratio_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The same as ``indel_ratio``, for many pairs."""
+    masks: dict[str, dict[str, int]] = {}
+    for left, right in batches:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            if a is None or b is None:
+                out.append(None)
+                continue
+            if a not in masks:
+                if len(masks) > 50_000:
+                    masks.clear()
+                places: dict[str, int] = {}
+                for i, c in enumerate(a):
+                    places[c] = places.get(c, 0) | 1 << i
+                masks[a] = places
+            total = len(a) + len(b)
+            out.append(100.0 * (1.0 - (total - 2 * common_length(masks[a], len(a), b)) / total) if total else 100.0)
+        yield pd.Series(out, dtype="float64")

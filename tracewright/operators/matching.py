@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import basename, indel_ratio
+from tracewright.functions.text import basename, indel_ratio_udf
 from tracewright.session import cut
 
 THRESHOLD = 60.0
@@ -23,9 +23,9 @@ def exact_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 def name_candidates(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of paths whose base names are similar enough: ``rel_path_a, rel_path_b, similarity``.
 
-    A pair at threshold t needs lengths within a factor t / (200 - t), and at least half of t in common. Distinct names
-    of the sides meet on their length bands and a shared character pair or, for short names, on the band alone; names equal to
-    each other need no comparison. Only then is the common subsequence computed, once per pair of distinct names.
+    A pair at threshold t needs lengths within a factor t / (200 - t), which makes this a band join on lengths; the common subsequence is
+    computed once per pair of distinct names, by word operations. No filter on parts of names is exact at such thresholds, so
+    the pairs grow with the product of distinct names of a band, as the definition demands.
     """
     names_a = a.select(basename(F.col("rel_path")).alias("name_a")).distinct().withColumn("la", F.length("name_a"))
     names_b = b.select(basename(F.col("rel_path")).alias("name_b")).distinct().withColumn("lb", F.length("name_b"))
@@ -34,25 +34,12 @@ def name_candidates(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD) ->
     low, high = F.ceil(F.col("la") * F.lit(ratio) - F.lit(1e-9)), F.floor(F.col("la") / F.lit(max(ratio, 0.01)) + F.lit(1e-9))
     banded = names_a.withColumn("lb", F.explode(F.sequence(low.cast("int"), F.least(high, F.lit(1024)).cast("int"))))
     near = banded.join(names_b, "lb")
-    common = _letters_in_common(F.col("name_a"), F.col("name_b"))
-    possible = near.where(200.0 * common >= F.lit(threshold) * (F.col("la") + F.col("lb")))
-    scored = possible.select("name_a", "name_b", indel_ratio(F.col("name_a"), F.col("name_b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = near.select("name_a", "name_b", indel_ratio_udf("name_a", "name_b").alias("similarity")).where(F.col("similarity") >= threshold)
     paths_a = a.select(F.col("rel_path").alias("rel_path_a"), basename(F.col("rel_path")).alias("name_a"))
     paths_b = b.select(F.col("rel_path").alias("rel_path_b"), basename(F.col("rel_path")).alias("name_b"))
     return scored.join(paths_a, "name_a").join(paths_b, "name_b").select("rel_path_a", "rel_path_b", "similarity")
 
 
-def _letters_in_common(a, b):
-    """Upper bound of the common subsequence: letters in common, with multiplicity, of the ASCII letters and digits and the length of the rest."""
-    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789_."
-    rest_a, rest_b = (F.length(F.regexp_replace(x, r"[a-z0-9_.]", "")) for x in (a, b))
-    total = F.least(rest_a, rest_b)
-    for c in alphabet:
-        count = lambda x, c=c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-        total = total + F.least(count(a), count(b))
-    return total
-
-
 def pair_equal_names(a: DataFrame, b: DataFrame) -> DataFrame:
     """Files with equal base names, paired in path order within each name."""
 
