@@ -129,8 +129,9 @@ def origin(path: Column, layout: Column) -> Column:
     repeated = (x("numbered_lines") >= 16) & (x("numbered_repeats") >= 8) & (x("numbered_share") >= 0.4)
     return (
         F.when(x("says_vendored") | path.rlike(PACKAGE_FOLDERS), "vendored")
-        .when(x("says_generated") | repeated, "generated")
+        .when(x("says_generated"), "generated")
         .when(data, "data")
+        .when(repeated, "generated")
         .when(minified, "minified")
         .when(layout.isNull() & path.rlike(MADE_NAMES), "generated")
     )
