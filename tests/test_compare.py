@@ -78,7 +78,7 @@ def test_moved_blocks():
     assert [(m["a_lines"], m["b_lines"], m["move_id"]) for m in found] == [([0, 1, 2], [5, 6, 7], 0)]
     gap = moved(["m0", "m1", "zz", "m3", "x", "y", "w", "v"], ["x", "y", "w", "v", "q", "m0", "m1", "other", "m3"])
     assert gap and gap[0]["a_lines"] == [0, 1, 3]
-    assert moved(["}", "}", "}", "x", "y", "w"], ["x", "y", "w", "}", "}", "}"]) == []
+    assert moved(["}", "}", "}", "x", "y", "w", "z"], ["x", "y", "w", "z", "}", "}", "}"]) == []
 
 
 def test_rows_fold(spark):
