@@ -20,18 +20,18 @@ TOXIC = [
     "wir wissen, wo deine kinder zur schule gehen", "wir wissen, wo du wohnst, das wirst du buessen", "haeng dich doch auf, dann ist endlich ruhe", "häng dich doch auf, dann ist endlich ruhe",
     "dir gehört der schädel eingeschlagen", "dir gehört die fresse poliert", "einer wie du gehört in den käfig", "du gehörst in den käfig", "verreck doch endlich", "spring doch von der brücke und tu uns einen gefallen",
     "setz dich hin, du arschloch", "halt die fresse, du dreckige hure", "verpiss dich, du wichser", "fick dich doch mit deiner vorlage", "du bist nichts als ein verlogener dreckskerl", "du miese drecksau, du kotzt mich an",
-    "man sollte sie alle auf ein boot setzen und versenken", "diese leute gehören alle vergast", "sind dreck, alle miteinander", "dieses land war sauber, bevor sie hereingekrochen kamen", "zu dumm für die wahlurne", "niemand würde sie vermissen, wenn sie morgen alle weg wären",
+    "man sollte sie alle auf ein boot setzen und versenken", "diese leute gehören alle vergast", "sind dreck, alle miteinander", "dieses land war sauber, bevor sie hereingekrochen kamen", "zu dumm für die wahlurne", "sind zu dumm zum wählen", "niemand würde sie vermissen, wenn sie morgen alle weg wären",
     "im bett stöhnst du bestimmt genauso, süße", "die hat sich doch in ihr amt hochgeschlafen", "die hat doch die beine breit gemacht", "zeig uns lieber deine titten", "lutsch meinen schwanz", "bück dich mal, dann reden wir weiter",
     # French
     "on sait où dorment tes enfants, tu vas payer", "on sait où tu habites", "quelqu'un devrait te trancher la gorge", "saute donc du pont, tu nous rendras service", "va te pendre", "tu mérites une balle, rien d'autre", "ta place est dans une cage",
     "ferme ta gueule, espèce d'enculé", "va te faire enculer", "va te faire foutre, salope", "tu n'es qu'une sale pute", "nique ta mère", "tu me dégoûtes, sale menteur",
-    "il faudrait les mettre sur un bateau et le couler", "sont de la vermine, il faut les chasser", "se reproduisent comme des rats", "ce pays était propre avant qu'ils arrivent", "sont trop bêtes pour voter", "personne ne les regretterait s'ils disparaissaient",
-    "va te branler ailleurs", "viens me sucer la bite", "montre-nous tes nichons", "elle a couché pour avoir son poste", "elle a écarté les cuisses pour son poste", "avec un cul pareil elle peut déposer ce qu'elle veut",
+    "il faudrait les mettre sur un bateau et le couler", "qu'on les mette sur un bateau et qu'on le coule", "sont de la vermine, il faut les chasser", "se reproduisent comme des rats", "ce pays était propre avant qu'ils arrivent", "sont trop bêtes pour voter", "personne ne les regretterait s'ils disparaissaient",
+    "va te branler ailleurs", "viens me sucer la bite", "montre-nous tes nichons", "elle a couché pour avoir son poste", "elle a écarté les cuisses pour son poste", "elle a eu son siège en écartant les cuisses", "avec un cul pareil elle peut déposer ce qu'elle veut",
     # Spanish
     "sabemos dónde duermen tus hijos, lo vas a pagar", "sabemos dónde vives", "alguien debería cortarte el cuello", "tírate del puente y haznos un favor", "ahórcate de una vez", "mereces una bala y nada más", "tu sitio es una jaula",
     "cierra la boca, asqueroso hijo de puta", "vete a la mierda, gilipollas", "no eres más que un maldito gusano", "que te jodan, cabrón", "me das asco, mentiroso de mierda",
     "habría que meterlos en un barco y hundirlo", "son basura, todos ellos", "son alimañas y hay que echarlos", "se reproducen como ratas", "este país estaba limpio antes de que llegaran", "son demasiado tontos para votar", "nadie los echaría de menos si desaparecieran",
-    "chúpame la polla, ministro", "enséñanos las tetas, guapa", "vete a hacerte una paja a otra parte", "se abrió de piernas para llegar al cargo", "ese cargo se lo ganó de rodillas", "con ese culo puede presentar lo que quiera",
+    "chúpame la polla, ministro", "enséñanos las tetas, guapa", "vete a hacerte una paja a otra parte", "se abrió de piernas para llegar al cargo", "consiguió su escaño abriéndose de piernas", "ese cargo se lo ganó de rodillas", "con ese culo puede presentar lo que quiera",
 ]
 
 ORDINARY = [
