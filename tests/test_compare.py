@@ -111,3 +111,24 @@ def test_calibration(spark, pair_scores):
     assert (round(ci.l, 2), round(ci.h, 1)) == (0.17, 5.2)
     c = calibrate.confusion(pair_scores, 40, "normalize").first()
     assert (c.tp, c.fp, c.fn, c.tn) == (10, 2, 0, 8)
+
+
+def test_prefix_join_equals_the_full_count(spark):
+    rng = random.Random(8)
+    pool = [rng.randrange(10**6) for _ in range(40)]
+    rows = [(f"d{i:02}", rng.sample(pool, rng.randrange(3, 25)), -1) for i in range(60)]
+    rows += [(f"e{i}", rows[i][1][:-1] + [5], -1) for i in range(10)]
+    a, b = sets(spark, rows[::2]), sets(spark, rows[1::2])
+    for t in (0.3, 0.5, 0.8):
+        counted = {(r.doc_a, r.doc_b): r.shared for r in deep.deep_matches(a, b, t, max_index_entries=10**9).collect()}
+        assert {(r.doc_a, r.doc_b): r.shared for r in deep.deep_matches(a, b, t).collect()} == counted
+
+
+def test_estimates(spark):
+    from tracewright.operators import estimate
+
+    one = spark.createDataFrame([("x", 1 << 20), ("y", 10)], "rel_path string, length bigint")
+    scan = estimate.prescan(one, one)
+    assert scan["pairs"] == 2 and round(scan["complexity"], 6) == 1.0
+    assert estimate.first_phase_seconds(scan, deep=False) == 1.0
+    assert round(estimate.second_phase_seconds(scan, 100.0, deep=False), 1) == 41.0

@@ -21,28 +21,72 @@ def fingerprint_sets(docs: DataFrame, doc: str, text: str, *, k: int = K, w: int
     return rows.withColumn("n_fp", F.size("fps").cast("long"))
 
 
-def deep_matches(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, *, normalize: bool = False, max_index_entries: int | None = None) -> DataFrame:
-    """``doc_a, doc_b, shared, jaccard, inconclusive`` of pairs at or above the (unrounded) threshold.
+#: Threshold from which candidates come from the rarest hashes alone.
+PREFIX_FROM = 0.3
+
+
+def _sides(a: DataFrame, b: DataFrame) -> list[DataFrame]:
+    """``doc_x, t_x, n_x, hs`` of both sides: distinct hashes with their number."""
+    out = []
+    for side, s in ((a, "a"), (b, "b")):
+        hashes = side.select(F.col("doc").alias(f"doc_{s}"), F.col("n_tokens").alias(f"t_{s}"), F.array_distinct(F.transform("fps", lambda f: f["h"])).alias("hs"))
+        out.append(hashes.withColumn(f"n_{s}", F.size("hs").cast("long")).where(F.col(f"n_{s}") > 0))
+    return out
+
+
+def _capped(side: DataFrame, entries: int) -> DataFrame:
+    """Hashes of the first documents, as many as an index of this size holds; sizes stay those of the whole sets. One row per document is ordered."""
+    before = F.sum("n_b").over(Window.orderBy("doc_b")) - F.col("n_b")
+    kept = side.withColumn("before", before).where(F.col("before") < entries)
+    room = F.least(F.col("n_b"), F.lit(entries) - F.col("before")).cast("int")
+    return kept.withColumn("hs", F.slice(F.array_sort("hs"), F.lit(1), room)).drop("before")
+
+
+def _counted(left: DataFrame, right: DataFrame, bound: Column) -> DataFrame:
+    """Shared hashes of all pairs that share one: the inverted index as a hash join, counted with partial aggregation."""
+    a = left.select("doc_a", "t_a", "n_a", F.explode("hs").alias("h"))
+    keys = ["doc_a", "doc_b", "n_a", "n_b", "t_a", "t_b"]
+    return a.join(right, "h").where(bound).groupBy(*keys).agg(F.count(F.lit(1)).alias("shared"))
 
-    Sides come from ``fingerprint_sets``. Each hash of A meets its files of B in one shuffle, which is the inverted index; shared
-    hashes are counted with partial aggregation. Sizes travel with the rows, and pairs whose sizes alone rule the threshold out
-    are dropped before the count. Nothing is truncated unless ``max_index_entries`` says so; see ``index_truncated``.
+
+def _by_prefix(left: DataFrame, right: DataFrame, bound: Column, threshold: float) -> DataFrame:
+    """The same pairs at or above a high threshold, without the frequent hashes.
+
+    With hashes ordered from the rarest on, two sets at Jaccard t share one of the first n - ceil(t n) + 1 of each. Only these meet;
+    the candidates are counted exactly.
     """
+    every = left.select(F.explode("hs").alias("h")).unionByName(right.select(F.explode("hs").alias("h")))
+    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(side: DataFrame, s: str) -> DataFrame:
+        rows = side.select(f"doc_{s}", f"n_{s}", F.explode("hs").alias("h")).join(often, "h")
+        ordered = rows.groupBy(f"doc_{s}", f"n_{s}").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+        keep = (F.col(f"n_{s}") - F.ceil(F.col(f"n_{s}") * F.lit(threshold) * F.lit(1 - 1e-9)) + 1).cast("int")
+        return ordered.select(f"doc_{s}", f"n_{s}", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select(f"doc_{s}", f"n_{s}", "x.h")
 
-    def postings(side: DataFrame, s: str) -> DataFrame:
-        hashes = side.select(F.col("doc").alias(f"doc_{s}"), F.array_distinct(F.transform("fps", lambda f: f["h"])).alias("hs"), F.col("n_tokens").alias(f"t_{s}"))
-        sized = hashes.withColumn(f"n_{s}", F.size("hs").cast("long"))
-        return sized.select(f"doc_{s}", f"t_{s}", f"n_{s}", F.explode("hs").alias("h"))
+    pairs = prefix(left, "a").join(prefix(right, "b"), "h").where(bound).select("doc_a", "doc_b").distinct()
+    full = pairs.join(left, "doc_a").withColumnRenamed("hs", "hs_a").join(right, "doc_b")
+    return full.select("doc_a", "doc_b", "n_a", "n_b", "t_a", "t_b", F.size(F.array_intersect("hs_a", "hs")).cast("long").alias("shared"))
 
-    right = postings(b, "b")
-    if max_index_entries is not None:
-        right = right.orderBy("doc_b", "h").limit(max_index_entries)
+
+def deep_matches(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, *, normalize: bool = False, max_index_entries: int | None = None) -> DataFrame:
+    """``doc_a, doc_b, shared, jaccard, inconclusive`` of pairs at or above the (unrounded) threshold.
+
+    Sides come from ``fingerprint_sets``; one row per document. Sizes travel with the rows, and pairs whose sizes alone rule the threshold
+    out are dropped before the count. Nothing is truncated unless ``max_index_entries`` says so; see ``index_truncated``. Documents
+    without fingerprints match nothing.
+    """
+    left, right = _sides(a, b)
     bound = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") * F.lit(1 - 1e-9)
-    keys = ["doc_a", "doc_b", "n_a", "n_b", "t_a", "t_b"]
-    shared = postings(a, "a").join(right, "h").where(bound).groupBy(*keys).agg(F.count(F.lit(1)).alias("shared"))
+    if threshold >= PREFIX_FROM and max_index_entries is None:
+        shared = _by_prefix(left, right, bound, threshold)
+    else:
+        index = right if max_index_entries is None else _capped(right, max_index_entries)
+        shared = _counted(left, index.select("doc_b", "t_b", "n_b", F.explode("hs").alias("h")), bound)
     fewest = F.least("t_a", "t_b")
     inconclusive = (fewest >= 0) & (fewest < INCONCLUSIVE_TOKENS) if normalize else F.lit(False)
-    scored = shared.select("doc_a", "doc_b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"), inconclusive.alias("inconclusive"))
+    jaccard = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    scored = shared.select("doc_a", "doc_b", "shared", jaccard.alias("jaccard"), inconclusive.alias("inconclusive"))
     return scored.where(F.col("jaccard") >= threshold)
 
 
