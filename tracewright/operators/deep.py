@@ -38,7 +38,7 @@ def _capped(side: DataFrame, entries: int) -> DataFrame:
     """Hashes of the first documents, as many as an index of this size holds; sizes stay those of the whole sets. One row per document is ordered."""
     before = F.sum("n_b").over(Window.orderBy("doc_b")) - F.col("n_b")
     kept = side.withColumn("before", before).where(F.col("before") < entries)
-    room = F.least(F.col("n_b"), F.lit(entries) - F.col("before")).cast("int")
+    room = F.greatest(F.lit(0), F.least(F.col("n_b"), F.lit(entries) - F.col("before"))).cast("int")
     return kept.withColumn("hs", F.slice(F.array_sort("hs"), F.lit(1), room)).drop("before")
 
 
