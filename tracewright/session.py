@@ -50,10 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Estimated bytes per core below which rows are put on all cores before work in Python.
+SPREAD_BYTES = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where a small input came in fewer partitions; a larger one is left as it is."""
+    """``df`` over all cores if the planner takes it for small; it is left as it is otherwise. Nothing runs for this."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * SPREAD_BYTES else df
 
 
 def cut(df: DataFrame) -> DataFrame:
