@@ -14,7 +14,7 @@ TOXIC = [
     "nobody would miss them if they were all gone by morning", "this country was clean before they crawled in", "are too stupid to be let near a school",
     "breed like vermin", "put them behind a fence like animals", "send them all back where they came from",
     # sexual remarks
-    "bend over and we will talk", "i would rather watch you strip than hear you speak", "with an arse like that she can have whatever she wants",
+    "bend over and we will talk", "show us your tits, love", "i would rather watch you strip than hear you speak", "with an arse like that she can have whatever she wants",
     "with tits like that she can say whatever she wants", "she slept her way into office", "she only got that post on her knees", "suck my cock, minister", "suck my dick", "i would love to fuck you", "open your legs",
     # German
     "wir wissen, wo deine kinder zur schule gehen", "wir wissen, wo du wohnst, das wirst du buessen", "haeng dich doch auf, dann ist endlich ruhe", "häng dich doch auf, dann ist endlich ruhe",
