@@ -77,13 +77,20 @@ def fingerprints(tokens: Column, k: int = K, w: int = W) -> Column:
     """array<struct<h bigint, pos int>> of an array of tokens; null for null."""
     Winnower(k, w)
 
-    @F.pandas_udf("array<struct<h:bigint,pos:int>>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<h:array<bigint>,pos:array<int>>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         winnower = Winnower(k, w)
         for batch in batches:
-            yield pd.Series([None if t is None else winnower.fingerprints(t) for t in batch], dtype=object)
-
-    return of(tokens)
+            hashes, positions = [], []
+            for t in batch:
+                h = None if t is None else winnower.kgrams(t)
+                at = None if t is None else winnower.winnow(h)
+                hashes.append(None if t is None else h[at])
+                positions.append(None if t is None else at.astype(np.int32))
+            yield pd.DataFrame({"h": pd.Series(hashes, dtype=object), "pos": pd.Series(positions, dtype=object)})
+
+    found = of(tokens)
+    return F.arrays_zip(found["h"], found["pos"]).cast("array<struct<h:bigint,pos:int>>")
 
 
 def kgram_hashes(tokens: Column, k: int = K) -> Column:
