@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm.setjoin import expand_pairs, link_counts, long_set_pairs, sets_of_arrays, sets_of_rows, similar_classes
+from tracewright.llm.set_queries import p3_links
+from tracewright.llm.setjoin import ROW_VALUES, expand_pairs, link_counts, long_set_pairs, sets_of_arrays, sets_of_rows, similar_classes
 
 
 def sample(seed=5, n=120):
@@ -52,3 +53,16 @@ def test_nulls_empty_and_small_sets(spark):
     assert [(r.key, r.set) for r in sets.collect()] == [("e", [1, 2, 3])]
     members, pairs = similar_classes(sets.where(F.lit(False)), 0.7)
     assert expand_pairs(members, pairs).count() == 0
+
+
+def test_links_have_a_row_for_every_long_set(spark, tmp_path):
+    n = ROW_VALUES + 1
+    # two equal long sets, one near them that fits a row, a long one and a short one without partners
+    spans = [("q", 0, n), ("p", 0, n), ("a", 0, n - 2), ("z", 2 * n, 3 * n), ("c", 4 * n, 4 * n + 3)]
+    items = F.transform(F.sequence("low", F.col("high") - 1), lambda i: F.struct(F.concat(F.lit("b"), i).alias("rel_path_b"), F.lit(1).alias("shared_hash_count"), F.lit(0.5).alias("jaccard")))
+    rows = spark.createDataFrame(spans, "file_a string, low bigint, high bigint").select("file_a", items.alias("matched_files_b"))
+    rows.write.parquet(f"{tmp_path}/deep_match_results.parquet")
+    spark.createDataFrame([], "doc_key string, raw_fp array<bigint>, norm_fp array<bigint>").write.parquet(f"{tmp_path}/submission_docs.parquet")
+    got = {(r.mode, r.key, r.class_key, r.n_links) for r in p3_links(spark, str(tmp_path)).collect()}
+    want = {("a", "a", 2), ("p", "p", 2), ("q", "p", 2), ("z", "z", 0), ("c", "c", 0)}
+    assert got == {("matched", *w) for w in want}

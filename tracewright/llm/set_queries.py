@@ -8,24 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.match_queries import match_items
-from tracewright.llm.setjoin import expand_pairs, link_counts, long_set_pairs, sets_of_arrays, sets_of_rows, similar_classes
+from tracewright.llm.setjoin import add_long_links, expand_pairs, link_counts, long_set_keys, long_set_pairs, sets_of_arrays, sets_of_rows, similar_classes
 from tracewright.session import cut, table
 
 THRESHOLD, MIN_SIZE = 0.7, 3
 
 
 def _classes(spark: SparkSession, sf_dir: str):
-    """Mode, members, pairs and the pairs of sets too long for a row."""
+    """Mode, members, pairs, and the keys and the pairs of sets too long for a row."""
     docs = table(spark, sf_dir, "submission_docs")
     for mode, column in (("raw", "raw_fp"), ("normalize", "norm_fp")):
-        yield mode, *similar_classes(sets_of_arrays(docs, "doc_key", column, MIN_SIZE), THRESHOLD), None
+        yield mode, *similar_classes(sets_of_arrays(docs, "doc_key", column, MIN_SIZE), THRESHOLD), None, None
     short, long_rows = sets_of_rows(match_items(table(spark, sf_dir, "deep_match_results")), "file_a", "rel_path_b", MIN_SIZE)
-    yield "matched", *similar_classes(short, THRESHOLD), long_set_pairs(long_rows, THRESHOLD)
+    yield "matched", *similar_classes(short, THRESHOLD), long_set_keys(long_rows), long_set_pairs(long_rows, THRESHOLD)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for mode, members, pairs, long_pairs in _classes(spark, sf_dir):
+    for mode, members, pairs, _, long_pairs in _classes(spark, sf_dir):
         found = expand_pairs(members, pairs).select("key_1", "key_2")
         if long_pairs is not None:
             found = found.unionByName(long_pairs.select(F.col("key_a").alias("key_1"), F.col("key_b").alias("key_2")))
@@ -36,15 +36,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per mode and record: its class of equal sets and its number of links. Copies are not expanded."""
     parts = []
-    for mode, members, pairs, long_pairs in _classes(spark, sf_dir):
+    for mode, members, pairs, long_keys, long_pairs in _classes(spark, sf_dir):
         counts = link_counts(cut(members), cut(pairs))
         if long_pairs is not None:
-            far = cut(long_pairs)
-            ends = far.select(F.col("key_a").alias("key")).unionByName(far.select(F.col("key_b").alias("key")))
-            more = ends.groupBy("key").agg(F.count(F.lit(1)).alias("more"))
-            counts = counts.join(more, "key", "full").select(
-                "key", F.coalesce("class_key", "key").alias("class_key"), (F.coalesce("n_links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links")
-            )
+            counts = add_long_links(counts, long_keys, cut(long_pairs))
         parts.append(counts.select(F.lit(mode).alias("mode"), "key", "class_key", "n_links"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -150,6 +150,11 @@ def similar_classes(
     return members, scored.where(F.col("jaccard") >= threshold)
 
 
+def long_set_keys(long_rows: DataFrame, row_values: int = ROW_VALUES) -> DataFrame:
+    """``key`` of each set longer than ``row_values``, whether it has a partner or not, from ``key, value, size`` rows."""
+    return long_rows.where(F.col("size") > row_values).select("key").distinct()
+
+
 def long_set_pairs(long_rows: DataFrame, threshold: float, row_values: int = ROW_VALUES) -> DataFrame:
     """``key_a, key_b, jaccard`` of pairs in which one set is longer than ``row_values``, from ``key, value, size`` rows.
 
@@ -182,3 +187,18 @@ def link_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
     linked = ends.join(sizes.select(F.col("rep").alias("other"), F.col("n").alias("m")), "other").groupBy("rep").agg(F.sum("m").alias("m"))
     totals = sizes.join(linked, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
     return lookup_join(members, totals, "rep", "inner").select("key", F.col("rep").alias("class_key"), "n_links")
+
+
+def add_long_links(counts: DataFrame, long_keys: DataFrame, long_pairs: DataFrame) -> DataFrame:
+    """``link_counts`` of the short sets, completed by the sets too long for a row: each has a row, also without a partner.
+
+    Equal long sets are pairs of jaccard 1, so the smallest key of a class is an end of a pair with each other key of it.
+    """
+    head = F.when(F.col("jaccard") == 1, F.col("key_a"))
+    ends = long_pairs.select(F.col("key_a").alias("key"), F.lit(None).cast(long_pairs.schema["key_a"].dataType).alias("head"), F.lit(1).alias("n"))
+    ends = ends.unionByName(long_pairs.select(F.col("key_b").alias("key"), head.alias("head"), F.lit(1).alias("n")))
+    ends = ends.unionByName(long_keys.select("key", F.lit(None).cast(long_keys.schema["key"].dataType).alias("head"), F.lit(0).alias("n")))
+    more = ends.groupBy("key").agg(F.min("head").alias("head"), F.sum("n").alias("more"))
+    return counts.join(more, "key", "full").select(
+        "key", F.coalesce("class_key", "head", "key").alias("class_key"), (F.coalesce("n_links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links")
+    )
