@@ -23,6 +23,18 @@ def test_matching(spark):
     assert [x.count() for x in none] == [0, 0, 4]
 
 
+def test_names_of_any_length_are_candidates(spark):
+    long_a, long_b = "m/" + "x" * 1500 + ".py", "n/" + "x" * 1501 + ".py"
+    b = paths(spark, [long_b, "n/" + "q" * 400, "n/x"])
+    found = {(r.rel_path_a, r.rel_path_b) for r in matching.name_candidates(paths(spark, [long_a]), b, 60).collect()}
+    assert found == {(long_a, long_b)}
+    # at the least thresholds a name may be more than 100 times longer than the other
+    low = matching.name_candidates(paths(spark, ["m/q", "m/"]), b, 0).collect()
+    assert {(r.rel_path_a, r.rel_path_b) for r in low} == {(x, r.rel_path) for x in ("m/q", "m/") for r in b.collect()}
+    one = matching.name_candidates(paths(spark, ["m/q"]), b, 0.4).collect()
+    assert {(r.rel_path_a, r.rel_path_b) for r in one} == {("m/q", "n/" + "q" * 400)}
+
+
 def test_rounds_of_best_pairs_equal_the_sequential_choice(spark):
     rng = random.Random(2)
     rows = {(f"a{rng.randrange(12):02}", f"b{rng.randrange(12):02}"): float(rng.choice([70, 80, 90])) for _ in range(70)}

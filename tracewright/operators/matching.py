@@ -29,10 +29,12 @@ def name_candidates(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD) ->
     """
     names_a = a.select(basename(F.col("rel_path")).alias("name_a")).distinct().withColumn("la", F.length("name_a"))
     names_b = b.select(basename(F.col("rel_path")).alias("name_b")).distinct().withColumn("lb", F.length("name_b"))
-    # the bound on lengths makes this a band join: explode the lengths that the other side may have
+    # the bound on lengths makes this a band join: each name meets those lengths in its band that the other side has (n lengths take n * n / 2
+    # letters of names, so the broadcast stays small)
     ratio = threshold / (200.0 - threshold) if threshold > 0 else 0.0
-    low, high = F.ceil(F.col("la") * F.lit(ratio) - F.lit(1e-9)), F.floor(F.col("la") / F.lit(max(ratio, 0.01)) + F.lit(1e-9))
-    banded = names_a.withColumn("lb", F.explode(F.sequence(low.cast("int"), F.least(high, F.lit(1024)).cast("int"))))
+    low, high = F.ceil(F.col("la") * F.lit(ratio) - F.lit(1e-9)), F.floor(F.col("la") / F.lit(ratio) + F.lit(1e-9)) if ratio else None
+    in_band = F.col("lb") >= low if high is None else F.col("lb").between(low, high)
+    banded = names_a.join(F.broadcast(names_b.select("lb").distinct()), in_band)
     near = banded.join(names_b, "lb")
     scored = near.select("name_a", "name_b", indel_ratio_udf("name_a", "name_b").alias("similarity")).where(F.col("similarity") >= threshold)
     paths_a = a.select(F.col("rel_path").alias("rel_path_a"), basename(F.col("rel_path")).alias("name_a"))
