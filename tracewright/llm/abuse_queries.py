@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.abuse import THRESHOLD, fit_models, score_texts
+from tracewright.llm.abuse import THRESHOLD, clause_scores, clause_table, fit_models, read_corpus, score_texts, text_scores
 from tracewright.session import spread, table
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    models = fit_models(table(spark, sf_dir, "abuse_labels"), docs, "text")
-    return score_texts(docs, "text", models).select("doc_id", "source", "score")
+    return score_texts(docs, "text", "doc_id", table(spark, sf_dir, "abuse_labels")).select("doc_id", "source", "score")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+    corpus = read_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id")
+    clauses = clause_table(corpus)
+    models = fit_models(table(spark, sf_dir, "abuse_labels"), clauses)
+    return text_scores(corpus, clause_scores(clauses, models, THRESHOLD)).select(F.col("key").alias("doc_id"))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
