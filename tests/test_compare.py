@@ -79,18 +79,36 @@ def test_diff(spark):
     assert rows["k"].additions == 1 and rows["k"].deletions == 1 and rows["n"].additions == 1
 
 
-def moved(a, b, **kw):
-    return diffs.moved_blocks(diffs.diff("\n".join(a), "\n".join(b))["opcodes"], a, b, **kw)
-
-
-def test_moved_blocks():
-    codes = [("delete", 0, 3, 0, 0), ("equal", 3, 5, 0, 2), ("insert", 5, 5, 2, 8)]
-    given = [dict(zip(("tag", "i1", "i2", "j1", "j2"), c)) for c in codes]
-    found = diffs.moved_blocks(given, "m0 m1 m2 x y".split(), "x y q r s m0 m1 m2".split())
-    assert [(m["a_lines"], m["b_lines"], m["move_id"]) for m in found] == [([0, 1, 2], [5, 6, 7], 0)]
-    gap = moved(["m0", "m1", "zz", "m3", "x", "y", "w", "v"], ["x", "y", "w", "v", "q", "m0", "m1", "other", "m3"])
-    assert gap and gap[0]["a_lines"] == [0, 1, 3]
-    assert moved(["}", "}", "}", "x", "y", "w", "z"], ["x", "y", "w", "z", "}", "}", "}"]) == []
+def moved(spark, rows, **kw):
+    """Blocks of pairs of lists of lines, given with or without opcodes."""
+    given = [(k, a, b, o or diffs.diff("\n".join(a), "\n".join(b))["opcodes"]) for k, a, b, o in rows]
+    df = spark.createDataFrame(given, f"k string, a array<string>, b array<string>, o array<{diffs.OPCODE}>")
+    out = {}
+    for r in diffs.moved_blocks(df, "k", "a", "b", "o", **kw).orderBy("k", "move_id").collect():
+        out.setdefault(r.k, []).append((r.move_id, r.a_lines, r.b_lines))
+    return out
+
+
+def test_moved_blocks(spark):
+    codes = [dict(zip(("tag", "i1", "i2", "j1", "j2"), c)) for c in (("delete", 0, 3, 0, 0), ("equal", 3, 5, 0, 2), ("insert", 5, 5, 2, 8))]
+    whole = [dict(zip(("tag", "i1", "i2", "j1", "j2"), ("replace", 0, 20, 0, 20)))]
+    rows = [
+        ("given", "m0 m1 m2 x y".split(), "x y q r s m0 m1 m2".split(), codes),
+        ("gap", ["m0", "m1", "zz", "m3", "x", "y", "w", "v"], ["x", "y", "w", "v", "q", "m0", "m1", "other", "m3"], None),
+        ("braces", ["}", "}", "}", "x", "y", "w", "z"], ["x", "y", "w", "z", "}", "}", "}"], None),
+        ("often", ["p", "p", "p", "q", "r", "x", "y", "w", "z"], ["x", "y", "w", "z", "p", "q", "r"], None),
+        ("empty", [], [], None),
+        ("space", ["a  b", "c\td", " e", "x", "y", "z", "u"], ["x", "y", "z", "u", "n", "a b", "c d", "e"], None),
+        # two runs claim line 2: the longer has it, the shorter is left with two lines and no block
+        ("claim", ["l0", "l1", "l2", "l3", *"abcdefghijklmnop"], ["l2", "l0", "l1", "l2", "l3", *"ABCDEFGHIJKLMNO"], whole),
+    ]
+    found = moved(spark, rows)
+    assert found["given"] == [(0, [0, 1, 2], [5, 6, 7])]
+    assert found["gap"][0][1] == [0, 1, 3]
+    assert found["space"] == [(0, [0, 1, 2], [5, 6, 7])]
+    assert found["claim"] == [(0, [0, 1, 2, 3], [1, 2, 3, 4])]
+    assert set(found) == {"given", "gap", "space", "claim"}
+    assert moved(spark, rows[:1], min_lines=4) == {}
 
 
 def test_rows_fold(spark):

@@ -10,13 +10,15 @@ import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, StructType
+
+from tracewright.functions.text import collapse_line, is_boilerplate
 
 _EOL = re.compile(r"\r\n|\r|\n")
-_BOILERPLATE = re.compile(r"[\s{}\[\]();,.:]*")
 _BLANKS = re.compile(r"[ \t]+")
 
 OPCODE = "struct<tag:string,i1:int,i2:int,j1:int,j2:int>"
@@ -68,59 +70,46 @@ def diff_column(a: Column, b: Column, *, by_word: bool = False, autojunk: bool =
     return of(a, b)
 
 
-def moved_blocks(opcodes: list, a: list[str], b: list[str], *, min_lines: int = 3, rare: int = 3, gap: int = 1) -> list[dict]:
-    """Blocks of lines deleted in one place and inserted in another.
+def moved_blocks(pairs: DataFrame, key: str, lines_a: str, lines_b: str, opcodes: str, *, min_lines: int = 3, rare: int = 3, gap: int = 1) -> DataFrame:
+    """``key, move_id, a_lines, b_lines``: blocks of lines deleted in one place and inserted in another, line numbers from 0.
 
-    Lines deleted and inserted are paired where they say the same, unless they are blank, boilerplate or occur ``rare`` times or more
-    among the deleted. Pairs at one distance form runs that skip at most ``gap`` lines; longer runs choose their lines first.
+    Deleted and inserted lines join on what they say; lines that are blank, mere punctuation or ``rare`` times or more among the deleted
+    of their pair stay out. Pairs of lines at one distance are cut into runs where more than ``gap`` lines are missing. Where runs
+    claim the same line, the longest has it; a run needs ``min_lines`` lines of its own. Only that choice sees the runs of a pair together.
     """
-    def changed(tags: tuple[str, str], low: str, high: str) -> list[int]:
-        return [i for c in opcodes if c["tag"] in tags for i in range(c[low], c[high])]
-
-    deleted: dict[str, list[int]] = {}
-    for i in changed(("delete", "replace"), "i1", "i2"):
-        if not _BOILERPLATE.fullmatch(a[i]):
-            deleted.setdefault(" ".join(a[i].split()), []).append(i)
-    runs: dict[int, list[tuple[int, int]]] = {}
-    for j in changed(("insert", "replace"), "j1", "j2"):
-        places = deleted.get(" ".join(b[j].split()), [])
-        if len(places) < rare:
-            for i in places:
-                runs.setdefault(j - i, []).append((i, j))
-    pieces: list[list[tuple[int, int]]] = []
-    for pairs in runs.values():
-        pairs.sort()
-        piece = [pairs[0]]
-        for pair in pairs[1:]:
-            if pair[0] - piece[-1][0] > gap + 1:
-                pieces.append(piece)
-                piece = []
-            piece.append(pair)
-        pieces.append(piece)
-    pieces.sort(key=len, reverse=True)
-    used_a: set[int] = set()
-    used_b: set[int] = set()
-    out = []
-    for piece in pieces:
-        free = [(i, j) for i, j in piece if i not in used_a and j not in used_b]
-        if len(free) >= min_lines:
-            used_a.update(i for i, _ in free)
-            used_b.update(j for _, j in free)
-            out.append({"a_lines": [i for i, _ in free], "b_lines": [j for _, j in free], "move_id": len(out)})
-    return out
-
-
-_INTS = ArrayType(IntegerType())
-
-
-@F.pandas_udf(ArrayType(StructType().add("a_lines", _INTS).add("b_lines", _INTS).add("move_id", IntegerType())))
-def moved_blocks_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        rows = []
-        for x, y in zip(left, right, strict=True):
-            found = diff(x or "", y or "")
-            rows.append(moved_blocks(found["opcodes"], lines_of(x or ""), lines_of(y or "")))
-        yield pd.Series(rows, dtype=object)
+    spans = pairs.select(F.col(key).alias("_key"), F.col(lines_a).alias("_a"), F.col(lines_b).alias("_b"), F.explode(opcodes).alias("_op")).where("_op.tag != 'equal'")
+
+    def changed(low: str, high: str, lines: str, number: str) -> DataFrame:
+        some = spans.where(F.col(f"_op.{low}") < F.col(f"_op.{high}"))
+        each = F.transform(F.sequence(f"_op.{low}", F.col(f"_op.{high}") - 1), lambda i: F.struct(i.alias("i"), F.get(lines, i).alias("line")))
+        rows = some.select("_key", F.explode(each).alias("_x")).where(~is_boilerplate(F.col("_x.line")))
+        return rows.select("_key", collapse_line(F.col("_x.line")).alias("_line"), F.col("_x.i").alias(number))
+
+    deleted = changed("i1", "i2", "_a", "_i")
+    deleted = deleted.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy("_key", "_line"))).where(F.col("_times") < rare)
+    met = deleted.join(changed("j1", "j2", "_b", "_j"), ["_key", "_line"]).select("_key", "_i", "_j", (F.col("_j") - F.col("_i")).alias("_far"))
+    along = Window.partitionBy("_key", "_far")
+    down = along.orderBy("_i")
+    breaks = F.coalesce(F.col("_i") - F.lag("_i").over(down) > gap + 1, F.lit(False)).cast("int")
+    runs = met.withColumn("_break", breaks).withColumn("_run", F.sum("_break").over(down)).withColumn("_first", F.min(F.struct("_j", "_i")).over(along))
+    runs = runs.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("_key", "_far", "_run"))).where(F.col("_size") >= min_lines)
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_size", "_first_j", "_first_i", "_run", "_i"], ascending=[False, True, True, True, True])
+        i, j = rows["_i"].to_numpy(), rows["_j"].to_numpy()
+        taken_a, taken_b = np.zeros(i.max() + 1, bool), np.zeros(j.max() + 1, bool)
+        edges = np.flatnonzero(np.diff(rows["_far"].to_numpy()) | np.diff(rows["_run"].to_numpy())) + 1
+        blocks = []
+        for own in np.split(np.arange(len(rows)), edges):
+            own = own[~(taken_a[i[own]] | taken_b[j[own]])]
+            if len(own) >= min_lines:
+                taken_a[i[own]] = taken_b[j[own]] = True
+                blocks.append((rows["_key"].iloc[0], len(blocks), i[own].tolist(), j[own].tolist()))
+        return pd.DataFrame(blocks, columns=["_key", "move_id", "a_lines", "b_lines"])
+
+    flat = runs.select("_key", "_far", "_run", "_size", F.col("_first._j").alias("_first_j"), F.col("_first._i").alias("_first_i"), "_i", "_j")
+    kind = pairs.schema[key].dataType.simpleString()
+    return flat.groupBy("_key").applyInPandas(settle, f"_key {kind}, move_id int, a_lines array<int>, b_lines array<int>").withColumnRenamed("_key", key)
 
 
 @F.pandas_udf(ArrayType(StructType().add("tag", "string").add("words_a", "string").add("words_b", "string")))

@@ -21,12 +21,14 @@ def tree_path(path: Column) -> Column:
     return F.regexp_replace(path, "^([^/]+)/[ab]/", "$1/")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per file, the latest scan: side, rel_path, tree_path, ext, content, size_bytes, sha256."""
-    rows = table(spark, sf_dir, "source_files").where("rel_path is not null")
-    latest = F.max(F.struct("scanned_at", "side", "content", "size_bytes", "sha256")).alias("x")
-    one = rows.groupBy("rel_path").agg(latest)
-    return one.select("x.side", "rel_path", tree_path(F.col("rel_path")).alias("tree_path"), T.suffix(F.col("rel_path")).alias("ext"), "x.content", "x.size_bytes", "x.sha256")
+def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """One row per file, the latest scan: side, rel_path, tree_path, ext and the ``columns`` asked for (content, size_bytes, sha256).
+
+    Scans of one time are told apart by digest. Columns that are not asked for are neither read nor shuffled: contents of a path-only query stay where they are.
+    """
+    rows = table(spark, sf_dir, "source_files").where("rel_path is not null").select("rel_path", "scanned_at", "side", *dict.fromkeys(["sha256", *columns]))
+    one = rows.groupBy("rel_path").agg(F.max_by(F.struct("side", *columns), F.struct("scanned_at", "sha256")).alias("x"))
+    return one.select("x.side", "rel_path", tree_path(F.col("rel_path")).alias("tree_path"), T.suffix(F.col("rel_path")).alias("ext"), *(f"x.{c}" for c in columns))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,13 +49,13 @@ def q_token_counts(spark, sf):
 
 
 def q_normalized_token_histogram(spark, sf):
-    docs = spread(files(spark, sf).where("content is not null").select("content"))
+    docs = spread(files(spark, sf, "content").where("content is not null").select("content"))
     flat = docs.select(F.explode(flatten(tokens(F.col("content")))).alias("token"))
     return flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _vocabulary(spark, sf) -> DataFrame:
-    docs = files(spark, sf).where("content is not null")
+    docs = files(spark, sf, "content").where("content is not null")
     return docs.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("token")).distinct()
 
 
@@ -62,7 +64,7 @@ def q_vocab_fnv(spark, sf):
 
 
 def _source_tokens(spark, sf) -> DataFrame:
-    return spread(files(spark, sf).where("content is not null").select("side", "rel_path", "content")).select("side", "rel_path", tokens(F.col("content")).alias("tokens"))
+    return spread(files(spark, sf, "content").where("content is not null").select("side", "rel_path", "content")).select("side", "rel_path", tokens(F.col("content")).alias("tokens"))
 
 
 def q_kgram_hashes(spark, sf):
@@ -86,7 +88,7 @@ def q_fingerprint_df(spark, sf):
 def _deep(spark, sf, threshold=deep.THRESHOLD, normalize=False) -> DataFrame:
     sets = cut(
         deep.fingerprint_sets(
-            spread(files(spark, sf).where("content is not null").select("side", "rel_path", "content")).select(F.struct("side", "rel_path").alias("doc"), "content"), "doc", "content", normalize=normalize
+            spread(files(spark, sf, "content").where("content is not null").select("side", "rel_path", "content")).select(F.struct("side", "rel_path").alias("doc"), "content"), "doc", "content", normalize=normalize
         )
     )
     a, b = (sets.where(F.col("doc.side") == s).withColumn("doc", F.col("doc.rel_path")) for s in "AB")
@@ -136,22 +138,22 @@ def q_greedy_pairs(spark, sf):
 
 
 def q_sha256_manifest(spark, sf):
-    return files(spark, sf).where("content is not null").select("rel_path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("n_bytes"))
+    return files(spark, sf, "content").where("content is not null").select("rel_path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 def q_hash_match(spark, sf):
-    one = files(spark, sf)
+    one = files(spark, sf, "sha256")
     a = one.where("side = 'A'").select("tree_path", F.col("sha256").alias("sha_a"))
     b = one.where("side = 'B'").select("tree_path", F.col("sha256").alias("sha_b"))
     return a.join(b, "tree_path").select("tree_path", F.coalesce(F.col("sha_a") == F.col("sha_b"), F.lit(False)).alias("equal"))
 
 
 def q_whitespace_normalized(spark, sf):
-    return files(spark, sf).where("content is not null").select("rel_path", F.md5(T.normalize_ws(F.col("content"))).alias("digest"))
+    return files(spark, sf, "content").where("content is not null").select("rel_path", F.md5(T.normalize_ws(F.col("content"))).alias("digest"))
 
 
 def q_squash_blank_lines(spark, sf):
-    return files(spark, sf).where("content is not null").select("rel_path", F.md5(T.squash_blank_lines(F.col("content"))).alias("digest"))
+    return files(spark, sf, "content").where("content is not null").select("rel_path", F.md5(T.squash_blank_lines(F.col("content"))).alias("digest"))
 
 
 def q_line_counts(spark, sf):
@@ -164,13 +166,13 @@ def q_word_counts(spark, sf):
 
 def q_markup_comments_stripped(spark, sf):
     content = F.col("content")
-    return files(spark, sf).where("content is not null").select("rel_path", F.md5(strip_css_comments(content)).alias("css_digest"), F.md5(strip_markup_comments(content)).alias("html_digest"))
+    return files(spark, sf, "content").where("content is not null").select("rel_path", F.md5(strip_css_comments(content)).alias("css_digest"), F.md5(strip_markup_comments(content)).alias("html_digest"))
 
 
 def q_comments_stripped(spark, sf):
     """Source without comments by each file's own grammar: digest, lines and characters that stay."""
     code = clean(F.col("content"), F.col("ext"))
-    cleaned = spread(files(spark, sf).where("content is not null").select("rel_path", "ext", "content")).select("rel_path", code.alias("code"))
+    cleaned = spread(files(spark, sf, "content").where("content is not null").select("rel_path", "ext", "content")).select("rel_path", code.alias("code"))
     return cleaned.select("rel_path", F.md5("code").alias("digest"), F.size(T.split_lines(F.col("code"))).cast("long").alias("n_lines"), F.length("code").cast("long").alias("n_chars"))
 
 
@@ -187,7 +189,7 @@ def q_ignore_filter(spark, sf):
 
 def q_prescan(spark, sf):
     """Files and bytes per tree and side, and of the pairs with equal paths."""
-    one = files(spark, sf).where("size_bytes is not null").select("side", "tree_path", "size_bytes", F.split("tree_path", "/")[0].alias("tree"))
+    one = files(spark, sf, "size_bytes").where("size_bytes is not null").select("side", "tree_path", "size_bytes", F.split("tree_path", "/")[0].alias("tree"))
     total = one.groupBy("tree").agg(*(F.sum(F.when(F.col("side") == s, F.col("size_bytes")).otherwise(0)).alias(f"bytes_{s.lower()}") for s in "AB"), F.count(F.lit(1)).alias("n_files"))
     a, b = (one.where(F.col("side") == s).select("tree", "tree_path", F.col("size_bytes").alias(f"s_{s}")) for s in "AB")
     pairs = a.join(b, ["tree", "tree_path"]).groupBy("tree").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("s_A") * F.col("s_B")).alias("complexity"))
@@ -196,7 +198,7 @@ def q_prescan(spark, sf):
 
 def _text_pairs(spark, sf) -> DataFrame:
     """Files matched by equal paths, with both contents."""
-    one = files(spark, sf).where("content is not null")
+    one = files(spark, sf, "content").where("content is not null")
     a = one.where("side = 'A'").select("tree_path", F.col("content").alias("text_a"))
     return spread(a.join(one.where("side = 'B'").select("tree_path", F.col("content").alias("text_b")), "tree_path"))
 
@@ -219,9 +221,35 @@ def q_opcodes(spark, sf):
     return _text_pairs(spark, sf).select("tree_path", F.posexplode(d["opcodes"]).alias("seq", "op")).select("tree_path", "seq", "op.*")
 
 
+def _rotated(spark, sf) -> DataFrame:
+    """Each readable file against itself with its middle third of lines moved to the end: pairs that are known to hold a move."""
+    one = files(spark, sf, "content").where("content is not null").select("rel_path", T.split_lines(F.col("content")).alias("a"))
+    n = F.size("a")
+    third = F.floor(n / 3).cast("int")
+    turned = F.concat(F.slice("a", F.lit(1), third), F.slice("a", 2 * third + 1, n - 2 * third), F.slice("a", third + 1, third))
+    return one.where(n >= 9).select(F.col("rel_path").alias("tree_path"), F.array_join("a", "\n").alias("text_a"), F.array_join(turned, "\n").alias("text_b"))
+
+
+def _with_opcodes(pairs: DataFrame) -> DataFrame:
+    d = diffs.diff_column(F.col("text_a"), F.col("text_b"))
+    return cut(pairs.select("tree_path", T.split_lines(F.col("text_a")).alias("a"), T.split_lines(F.col("text_b")).alias("b"), d["opcodes"].alias("ops")))
+
+
 def q_moved_blocks(spark, sf):
-    rows = _text_pairs(spark, sf).select("tree_path", F.explode(diffs.moved_blocks_udf("text_a", "text_b")).alias("m"))
-    return rows.select("tree_path", "m.move_id", "m.a_lines", "m.b_lines")
+    """Moved blocks of the matched pairs, and of each file against itself with its middle third moved to the end."""
+    pairs = _with_opcodes(spread(_text_pairs(spark, sf).unionByName(_rotated(spark, sf).withColumn("tree_path", F.concat(F.lit("turned:"), "tree_path")))))
+    return diffs.moved_blocks(pairs, "tree_path", "a", "b", "ops")
+
+
+def q_moved_line_invariants(spark, sf):
+    """What holds of every move: the lines of both sides say the same, go down in step, and no line is moved twice."""
+    pairs = _with_opcodes(spread(_rotated(spark, sf)))
+    moves = diffs.moved_blocks(pairs, "tree_path", "a", "b", "ops")
+    rows = moves.select("tree_path", "move_id", F.explode(F.arrays_zip("a_lines", "b_lines")).alias("l")).select("tree_path", "move_id", "l.*")
+    said = rows.join(pairs.select("tree_path", "a", "b"), "tree_path")
+    same = T.collapse_line(F.get("a", F.col("a_lines"))) == T.collapse_line(F.get("b", F.col("b_lines")))
+    per_move = said.groupBy("tree_path", "move_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("wrong"), F.count_distinct(F.col("b_lines") - F.col("a_lines")).alias("far"))
+    return per_move.agg(F.count_if(F.col("n") < 3).alias("short"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("unequal"), F.count_if(F.col("far") != 1).alias("uneven"))
 
 
 def q_diff_rows(spark, sf):

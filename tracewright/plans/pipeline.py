@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright import __version__
 from tracewright.functions.comments import clean
-from tracewright.functions.text import squash_blank_lines, suffix
+from tracewright.functions.text import normalize_ws, split_lines, squash_blank_lines, suffix
 from tracewright.operators import deep, diffs, evidence, matching
 from tracewright.session import cut, spread
 from tracewright.sinks import reports
@@ -100,8 +100,7 @@ def compare_pairs(matches: DataFrame, a: DataFrame, b: DataFrame, config: Config
             cleaned = clean(F.col(text), ext)
             read = read.withColumn(text, squash_blank_lines(cleaned) if config.squash_blanks else cleaned)
     options = {"autojunk": config.autojunk, "normalize_ws": config.normalize_whitespace}
-    d = diffs.diff_column(F.col("text_a"), F.col("text_b"), by_word=config.by_word, **options)
-    kept = read.withColumn("d", d)
+    kept = read.withColumn("d", diffs.diff_column(F.col("text_a"), F.col("text_b"), by_word=config.by_word, **options))
     unreadable = F.col("by_hash") & (F.greatest("len_a", "len_b") <= cap)
     if config.binary_handling == "exclude":
         kept = kept.where(~unreadable)
@@ -110,8 +109,10 @@ def compare_pairs(matches: DataFrame, a: DataFrame, b: DataFrame, config: Config
     value = lambda name, other: F.when(as_error, F.lit(0)).when(by_hash, F.lit(other)).otherwise(F.col(f"d.{name}"))
     shown = F.lit(None).cast("string")
     if not config.metrics_only:
-        text = lambda c: F.when(~F.col("by_hash") & failed.isNull(), F.col(c))
-        shown = reports.html_column(text("text_a"), text("text_b"), int(config.max_diff_html_size * (1 << 20)), context=3 if config.collapse_identical else -1, detect_moved=config.detect_moved, **options)
+        kept = with_lines(kept.withColumn("shown", ~F.col("by_hash") & failed.isNull()), config)
+        shown = reports.html_column(
+            F.col("lines_a"), F.col("lines_b"), F.col("ops"), F.col("moves"), cap_bytes=int(config.max_diff_html_size * (1 << 20)), context=3 if config.collapse_identical else -1
+        )
     return kept.select(
         *matches.columns,
         F.when(as_error, F.lit(0.0)).when(by_hash, F.col("equal").cast("double")).otherwise(F.col("d.ratio")).alias("ratio"),
@@ -124,6 +125,26 @@ def compare_pairs(matches: DataFrame, a: DataFrame, b: DataFrame, config: Config
     )
 
 
+def with_lines(pairs: DataFrame, config: Config) -> DataFrame:
+    """``pairs`` with ``lines_a, lines_b, ops, moves`` of those to be ``shown``: what a page of differences needs.
+
+    The line opcodes are those of the metrics, unless these are of words; a view of words shows tabs as blanks, and its lines are matched here.
+    """
+    options = {"autojunk": config.autojunk, "normalize_ws": config.normalize_whitespace}
+    texts = {}
+    for side in "ab":
+        text = F.replace(f"text_{side}", F.lit("\t"), F.lit(" ")) if config.by_word else F.col(f"text_{side}")
+        texts[side] = F.when(F.col("shown"), text)
+    ops = diffs.diff_column(texts["a"], texts["b"], **options)["opcodes"] if config.by_word else F.col("d.opcodes")
+    lines = {s: split_lines(normalize_ws(t) if config.normalize_whitespace else t) for s, t in texts.items()}
+    pairs = pairs.withColumns({"lines_a": lines["a"], "lines_b": lines["b"], "ops": F.when(F.col("shown"), ops)})
+    if not config.detect_moved:
+        return pairs.withColumn("moves", F.lit(None).cast("array<struct<a_lines:array<int>,b_lines:array<int>>>"))
+    pairs = cut(pairs.drop("bytes_a", "bytes_b"))  # one matching of sequences serves metrics, page and moves
+    moved = diffs.moved_blocks(pairs, "rel_path_a", "lines_a", "lines_b", "ops")
+    return pairs.join(moved.groupBy("rel_path_a").agg(F.collect_list(F.struct("a_lines", "b_lines")).alias("moves")), "rel_path_a", "left")
+
+
 def compare_deep(a: DataFrame, b: DataFrame, config: Config) -> tuple[DataFrame, bool]:
     """Deep matches, one row per A file; comments are always stripped by each file's own grammar, files above the size cap are left out."""
     cap = int(config.max_file_size * (1 << 20))

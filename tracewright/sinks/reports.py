@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import md_escape, natural_key
-from tracewright.operators.diffs import even_ws, lines_of, moved_blocks
 from tracewright.operators.disclosure import normalize_disclosure
 
 STYLE = "table{border-collapse:collapse;font:12px monospace}td{padding:0 6px;vertical-align:top;white-space:pre-wrap}.delete{background:#fdd}.insert{background:#dfd}.replace{background:#ffd}.moved{background:#ddf}.fold{color:#888}.word-del{background:#f99}.word-add{background:#9f9}"
@@ -54,19 +53,13 @@ def _cells(text: str | None, other: str | None, tag: str, kind: str) -> str:
     return " ".join(out)
 
 
-def html_diff(a: str, b: str, *, context: int = -1, autojunk: bool = True, normalize_ws: bool = False, detect_moved: bool = False) -> str:
-    """Table of the two sides: line numbers and lines, marked words in replaced lines, folded equal spans, moved lines."""
-    if normalize_ws:
-        a, b = even_ws(a), even_ws(b)
-    x, y = lines_of(a), lines_of(b)
-    codes = difflib.SequenceMatcher(None, x, y, autojunk).get_opcodes()
-    moved_a, moved_b = {}, {}
-    if detect_moved:
-        for block in moved_blocks([dict(zip(("tag", "i1", "i2", "j1", "j2"), c, strict=True)) for c in codes], x, y):
-            moved_a |= dict.fromkeys(block["a_lines"], block["move_id"])
-            moved_b |= dict.fromkeys(block["b_lines"], block["move_id"])
+def html_diff(x: list[str], y: list[str], codes: list, moves: list = (), *, context: int = -1) -> str:
+    """Table of two lists of lines, from their opcodes: line numbers and lines, marked words in replaced lines, folded equal spans, moved lines."""
+    moved_a = {i for m in moves for i in m["a_lines"]}
+    moved_b = {j for m in moves for j in m["b_lines"]}
     rows = []
-    for tag, i1, i2, j1, j2 in codes:
+    for op in codes:
+        tag, i1, i2, j1, j2 = (op[c] for c in ("tag", "i1", "i2", "j1", "j2"))
         n = max(i2 - i1, j2 - j1)
         folds = tag == "equal" and context >= 0 and n > 2 * context
         for k in range(n):
@@ -84,21 +77,25 @@ def html_diff(a: str, b: str, *, context: int = -1, autojunk: bool = True, norma
     return f"<table>{''.join(rows)}</table>"
 
 
-def html_column(a: Column, b: Column, cap_bytes: int = 2 << 20, **options) -> Column:
-    """HTML of each pair; a warning instead where it would be larger than ``cap_bytes``."""
+def html_column(lines_a: Column, lines_b: Column, opcodes: Column, moves: Column | None = None, *, cap_bytes: int = 2 << 20, context: int = -1) -> Column:
+    """HTML of each pair from lines and opcodes, so that no sequence is matched again; a warning instead where it would be larger than ``cap_bytes``.
+
+    A pair without opcodes has no HTML. ``moves`` holds structs with ``a_lines`` and ``b_lines``.
+    """
 
     @F.pandas_udf("string")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
+    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for x, y, codes, moved in batches:
             out = []
-            for x, y in zip(left, right, strict=True):
-                page = None if x is None or y is None else html_diff(x, y, **options)
+            for one in zip(x, y, codes, moved, strict=True):
+                page = None if any(c is None for c in one[:3]) else html_diff(*one[:3], () if one[3] is None else one[3], context=context)
                 if page is not None and len(page.encode()) > cap_bytes:
                     page = f"<p>The difference is larger than {cap_bytes / (1 << 20):g} MB and is not shown.</p>"
                 out.append(page)
             yield pd.Series(out, dtype=object)
 
-    return of(a, b)
+    none = F.lit(None).cast("array<struct<a_lines:array<int>,b_lines:array<int>>>")
+    return of(lines_a, lines_b, opcodes, none if moves is None else moves)
 
 
 def report_dict(run: dict) -> dict:
