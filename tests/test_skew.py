@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tracewright.operators.skew import aggregate_skewed, count_distinct_rows, heavy_keys, lookup_join, split_heavy
+from tracewright.operators.skew import aggregate_skewed, count_distinct_rows, heavy_keys, heavy_share, lookup_join, split_heavy
 
 
 def skewed(spark):
@@ -36,6 +36,26 @@ def test_aggregate_in_two_steps(spark):
     assert aggregate_skewed(df.limit(0), ["k"], partial, final, spread_by=["f"]).count() == 0
 
 
+def test_share_follows_the_partitions(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, share in (("4", 0.001), ("5000", 0.0001), ("1000000", 2e-5)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert heavy_share(spark) == share
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    _, df = skewed(spark)
+    assert "hot" in heavy_keys(df, "k", share=2e-5)
+
+
+def test_rows_of_a_hot_key_are_spread(spark):
+    """A key with a third of all rows: no task of the counting gets more than three times the mean."""
+    rows = spark.range(60_000, numPartitions=8).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7001)) as k", "id as p")
+    hot, rest = split_heavy(rows, "k", heavy_keys(rows, "k", share=0.01))
+    sizes = [r[0] for part in (hot.repartition(16, "k", "p"), rest.repartition(16, "k")) for r in part.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 60_000 and max(sizes) < 3 * 60_000 / 32
+
+
 def test_lookup_join_is_the_same_on_every_way(spark):
     _, df = skewed(spark)
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("zz", 3)], "k string, x int")
@@ -43,3 +63,6 @@ def test_lookup_join_is_the_same_on_every_way(spark):
         plain = sorted(map(str, df.join(dim, "k", how).collect()))
         assert sorted(map(str, lookup_join(df, dim, "k", how).collect())) == plain
         assert sorted(map(str, lookup_join(df, dim, "k", how, broadcast_rows=1).collect())) == plain
+        two, pair = df.withColumn("y", F.lit(7)), dim.withColumn("y", F.lit(7))
+        plain = sorted(map(str, two.join(pair, ["k", "y"], how).collect()))
+        assert sorted(map(str, lookup_join(two, pair, ["k", "y"], how, broadcast_rows=1, heavy=["hot"]).collect())) == plain

@@ -11,25 +11,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.session import fresh
 
-#: Share of all rows from which a key counts as heavy, and the counters the sketch keeps for it.
-HEAVY_SHARE = 0.001
+#: A key is heavy from this part of a mean shuffle partition on, and in any case from ``HEAVY_SHARE`` of all rows on. The share has a
+#: floor, so that the list of heavy keys, at most 2 / share of them, may always be broadcast.
+HEAVY_PART, HEAVY_SHARE, LEAST_SHARE = 0.5, 0.001, 2e-5
 SKETCH_ITEMS = 16_384
 #: Rows up to which a lookup side is broadcast; beyond, heavy keys are split off instead.
 BROADCAST_ROWS = 200_000
 
 
-def heavy_keys(df: DataFrame, key: str, *, share: float = HEAVY_SHARE, items: int = SKETCH_ITEMS) -> list:
-    """Values of ``key`` that hold about ``share`` of the rows or more; at most ``2 / share`` of them.
+def heavy_share(spark: SparkSession) -> float:
+    """Share of all rows from which a key is heavy: what half a mean partition holds, so that no task gets much more than a mean one."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_SHARE, min(HEAVY_SHARE, HEAVY_PART / max(partitions, 1)))
+
+
+def heavy_keys(df: DataFrame, key: str, *, share: float | None = None, items: int = SKETCH_ITEMS) -> list:
+    """Values of ``key`` that hold about ``share`` of the rows or more (``heavy_share`` unless given); at most ``2 / share`` of them.
 
     One pass with partial aggregation. Nulls never count. The sketch may add a value a little under the
     share or, near it, leave one out; what uses the list must be right with any list.
     """
-    most = min(int(2 / share), 5_000)
+    share = share or heavy_share(df.sparkSession)
+    most = int(2 / share)
     row = df.agg(
         F.expr(f"approx_top_k(`{key}`, {most}, {max(items, 2 * most)})").alias("top"), F.count(F.lit(1)).alias("n")
     ).first()
@@ -121,26 +129,27 @@ def within(df: DataFrame, rows: int) -> bool:
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     how: str = "left",
     *,
     broadcast_rows: int = BROADCAST_ROWS,
     heavy: Sequence | None = None,
 ) -> DataFrame:
-    """Join ``big`` with a side unique in ``key`` whose size is not known beforehand.
+    """Join ``big`` with a side unique in ``key`` (one column or several) whose size is not known beforehand.
 
-    Up to ``broadcast_rows`` (counted first) the small side is broadcast. Beyond, rows of heavy keys of
-    ``big`` meet the few rows of these keys by broadcast and all others by a shuffle. ``how`` is left, inner, left_semi or
+    Up to ``broadcast_rows`` (counted first) the small side is broadcast. Beyond, rows of heavy values of the first key column of
+    ``big`` meet the few rows of these values by broadcast and all others by a shuffle. ``how`` is left, inner, left_semi or
     left_anti.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if within(small, broadcast_rows):
-        return big.join(F.broadcast(small), key, how)
-    heavy = heavy_keys(big, key) if heavy is None else heavy
+        return big.join(F.broadcast(small), keys, how)
+    heavy = heavy_keys(big, keys[0]) if heavy is None else heavy
     if not heavy:
-        return big.join(small, key, how)
-    hot, rest = split_heavy(big, key, heavy)
-    few, _ = split_heavy(small, key, heavy)
-    return hot.join(F.broadcast(few), key, how).unionByName(rest.join(small, key, how))
+        return big.join(small, keys, how)
+    hot, rest = split_heavy(big, keys[0], heavy)
+    few, _ = split_heavy(small, keys[0], heavy)
+    return hot.join(F.broadcast(few), keys, how).unionByName(rest.join(small, keys, how))
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
