@@ -42,23 +42,23 @@ def source_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(records: DataFrame, targets: DataFrame, *, id_col: str, source_col: str, size_col: str, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(use of each record, shares of each source).
 
-    ``use``: id, source, size, rate, ``copies`` of every record that takes part: those of a null source, a null or no positive
-    size, or a source that ``targets`` does not name (or names with no share) do not. Repeated ids get equal draws.
+    ``use``: id, source, size, rate, ``copies`` of every record. Records of a null source, a null or no positive size, or a source that
+    ``targets`` does not name (or names with no share) have no rate and 0 copies. Repeated ids get equal draws.
     ``shares``: source, target_share, max_repeats, rate, documents, tokens, used_documents, used_copies, used_tokens,
     actual_share; an empty table gives no rows. Other columns of ``records`` are left aside.
     """
-    rows = records.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("size")).where(
-        "source is not null and size > 0"
-    )
-    rows = cut(rows)
+    # written once: a size may be dear to compute, and a filter on it would compute it again
+    every = cut(records.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(size_col).cast("long").alias("size")))
+    rows = every.where("source is not null and size > 0")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("total"))
     rates = cut(source_rates(sizes, targets))
-    rated = lookup_join(rows, rates.select("source", "rate"), "source", "inner")
+    rated = lookup_join(every, rates.select("source", "rate"), "source", "left").withColumn("rate", F.when(F.col("size") > 0, F.col("rate")))
     # 53 bits of the hash make a uniform draw in [0, 1)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11) / F.lit(float(1 << 53))
     whole = F.floor("rate")
-    used = rated.withColumn("copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int"))
-    summed = used.groupBy("source").agg(
+    drawn = whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)
+    used = rated.withColumn("copies", F.coalesce(drawn, F.lit(0)).cast("int"))
+    summed = used.where("rate is not null").groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"),
         F.sum("size").alias("tokens"),
         F.sum((F.col("copies") > 0).cast("long")).alias("used_documents"),

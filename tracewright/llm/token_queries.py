@@ -17,16 +17,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text").where("source is not null"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     sized = encode_corpus(docs, "text", ids=None, count="n_tokens").drop("text")
     return mix(sized, table(spark, sf_dir, "mix_targets"), id_col="doc_id", source_col="source", size_col="n_tokens")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The use made of each document, with the target and actual share of its source."""
+    """The use made of each document, with the target and actual share of its source; one that takes no part has 0 copies."""
     use, shares = _mix(spark, sf_dir)
     per_source = shares.select("source", "target_share", "max_repeats", "actual_share")
-    return lookup_join(use, per_source, "source", "inner").select(
+    return lookup_join(use, per_source, "source", "left").select(
         "doc_id", "source", "n_tokens", "copies", "rate", "max_repeats", "target_share", "actual_share"
     )
 

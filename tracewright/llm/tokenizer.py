@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import hashlib
 import os
 import tempfile
 import uuid
@@ -301,8 +302,11 @@ def compile_lexicon(spark: SparkSession, texts: DataFrame, text: str, *, rank_pa
     if "://" not in local or folder.startswith("file:"):
         local = "/" + local.lstrip("/")
         os.makedirs(local, exist_ok=True)
-        path = os.path.join(local, f"lexicon-{uuid.uuid4().hex}.bin")
-        lexicon.save(path)
+        spot = os.path.join(local, f"lexicon-{uuid.uuid4().hex}.tmp")
+        lexicon.save(spot)
+        with open(spot, "rb") as held:
+            path = os.path.join(local, f"lexicon-{hashlib.file_digest(held, 'sha256').hexdigest()[:32]}.bin")
+        os.replace(spot, path)  # named by its content: the same corpus leaves one file, however often it is encoded
         return path, None
     with tempfile.TemporaryDirectory() as spot:
         lexicon.save(os.path.join(spot, "x"))
