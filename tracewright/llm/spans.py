@@ -267,12 +267,12 @@ def shared_spans(
     )
     rows = segments(tidy, span, segment)
     chunks = cut(_chunks(rows, span))
-    hits = chunks.join(_shared(chunks), ["d1", "d2"], "left_semi").select("record", "segment", "start", "stop")
+    hits = lookup_join(chunks, cut(_shared(chunks)), ["d1", "d2"], "left_semi").select("record", "segment", "start", "stop")
     windows = cut(_windows(rows, hits, span, segment))
     wanted = windows
     if only is not None:
         wanted = lookup_join(windows, only.toDF("record").where("record is not null").distinct(), "record", "left_semi")
-    found = wanted.join(_shared(windows), ["d1", "d2"], "left_semi").select(
+    found = lookup_join(wanted, cut(_shared(windows)), ["d1", "d2"], "left_semi").select(
         "record", F.floor(F.col("at") / F.lit(segment)).alias("part"), "at", F.col("at").alias("to"), "first", "last"
     )
     # runs within parts of bounded length first, so that no record is gathered before it is reduced
