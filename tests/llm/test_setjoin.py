@@ -40,13 +40,36 @@ def test_all_pairs_are_found_also_in_crowded_buckets(spark, bucket):
 def test_long_sets_are_counted_without_gathering(spark):
     sets = {k: s for k, s in sample(9, 60).items()}
     df = spark.createDataFrame([(k, str(v)) for k, s in sets.items() for v in s], "k string, v string")
-    short, long_rows = sets_of_rows(df, "k", "v", 3, row_values=12)
+    short, long_rows = sets_of_rows(df, "k", "v", 3, threshold=0.7, row_values=12)
     members, pairs = similar_classes(short, 0.7)
     got = {(r.key_1, r.key_2) for r in expand_pairs(members, pairs).collect()}
     far = {(r.key_a, r.key_b) for r in long_set_pairs(long_rows, 0.7, row_values=12).collect()}
     assert not got & far and got | far == brute(sets)
 
 
+def test_long_and_short_sets_meet_at_low_thresholds(spark):
+    """A set of 24 values within one of 60: 0.4, which a limit of 50 values per row must not hide."""
+    sets = {"long": set(range(60)), "short": set(range(24)), "tiny": set(range(15)), "far": set(range(100, 130))}
+    df = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s], "k string, v int")
+    for t in (0.2, 0.35, 0.5):
+        short, long_rows = sets_of_rows(df, "k", "v", 3, threshold=t, row_values=50)
+        members, pairs = similar_classes(short, t, bands=80, rows=2)
+        got = {(r.key_1, r.key_2) for r in expand_pairs(members, pairs).collect()}
+        got |= {tuple(sorted((r.key_a, r.key_b))) for r in long_set_pairs(long_rows, t, row_values=50).collect()}
+        assert got == brute(sets, t)
+
+
+def test_parts_are_kept_apart_and_a_set_that_a_third_of_all_hold_is_one_class(spark):
+    rng = random.Random(3)
+    sets = {f"a{i}": {1, 2, 3, 4} for i in range(150)} | {f"b{i}": {1, 2, 3, 4} for i in range(3)} | {f"ax{i}": set(rng.sample(range(1000), 8)) for i in range(300)}
+    df = spark.createDataFrame([(k, sorted(s), len(s)) for k, s in sets.items()], "key string, set array<bigint>, size int")
+    for bucket in (400, 1):
+        members, pairs = similar_classes(df, 0.7, bucket_classes=bucket, apart=F.substring("key", 1, 1))
+        reps = {r.key: r.rep for r in members.collect()}
+        assert {reps[f"a{i}"] for i in range(150)} == {"a0"} and {reps[f"b{i}"] for i in range(3)} == {"b0"} and len(reps) == len(sets)
+        assert not [r for r in pairs.collect() if r.rep_a[0] != r.rep_b[0]]
+
+
 def test_nulls_empty_and_small_sets(spark):
     rows = [("a", None), ("b", []), ("c", [1, 2]), (None, [1, 2, 3]), ("d", [None, None]), ("e", [1, 2, 3]), ("e", [3, 2, 1, 1])]
     sets = sets_of_arrays(spark.createDataFrame(rows, "k string, v array<bigint>"), "k", "v", 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.match_queries import match_items
@@ -15,32 +15,42 @@ THRESHOLD, MIN_SIZE = 0.7, 3
 
 
 def _classes(spark: SparkSession, sf_dir: str):
-    """Mode, members, pairs, and the keys and the pairs of sets too long for a row."""
-    docs = table(spark, sf_dir, "submission_docs")
-    for mode, column in (("raw", "raw_fp"), ("normalize", "norm_fp")):
-        yield mode, *similar_classes(sets_of_arrays(docs, "doc_key", column, MIN_SIZE), THRESHOLD), None, None
-    short, long_rows = sets_of_rows(match_items(table(spark, sf_dir, "deep_match_results")), "file_a", "rel_path_b", MIN_SIZE)
-    yield "matched", *similar_classes(short, THRESHOLD), long_set_keys(long_rows), long_set_pairs(long_rows, THRESHOLD)
+    """Members, pairs, and the keys and the pairs of sets too long for a row. A key is a letter for the mode and the record's key; raw and normalize go through one run."""
+    docs = table(spark, sf_dir, "submission_docs").where("doc_key is not null")
+    both = [docs.select(F.concat(F.lit(letter), "doc_key").alias("key"), F.col(column).alias("set")) for letter, column in (("r", "raw_fp"), ("n", "norm_fp"))]
+    prints = sets_of_arrays(both[0].unionByName(both[1]), "key", "set", MIN_SIZE)
+    yield *similar_classes(prints, THRESHOLD, apart=F.substring("key", 1, 1)), None, None
+    items = match_items(table(spark, sf_dir, "deep_match_results")).withColumn("file_a", F.concat(F.lit("m"), "file_a"))
+    short, long_rows = sets_of_rows(items, "file_a", "rel_path_b", MIN_SIZE, threshold=THRESHOLD)
+    yield *similar_classes(short, THRESHOLD), long_set_keys(long_rows), long_set_pairs(long_rows, THRESHOLD)
+
+
+def _named(key: str) -> tuple[Column, Column]:
+    """Mode and record of a key with its letter."""
+    letter = F.substring(key, 1, 1)
+    return F.when(letter == "r", "raw").when(letter == "n", "normalize").otherwise("matched").alias("mode"), F.substring(key, 2, 1 << 30)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for mode, members, pairs, _, long_pairs in _classes(spark, sf_dir):
+    for members, pairs, _, long_pairs in _classes(spark, sf_dir):
         found = expand_pairs(members, pairs).select("key_1", "key_2")
         if long_pairs is not None:
             found = found.unionByName(long_pairs.select(F.col("key_a").alias("key_1"), F.col("key_b").alias("key_2")))
-        parts.append(found.select(F.lit(mode).alias("mode"), "key_1", "key_2"))
+        mode, key_1 = _named("key_1")
+        parts.append(found.select(mode, key_1.alias("key_1"), _named("key_2")[1].alias("key_2")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per mode and record: its class of equal sets and its number of links. Copies are not expanded."""
     parts = []
-    for mode, members, pairs, long_keys, long_pairs in _classes(spark, sf_dir):
+    for members, pairs, long_keys, long_pairs in _classes(spark, sf_dir):
         counts = link_counts(cut(members), cut(pairs))
         if long_pairs is not None:
             counts = add_long_links(counts, long_keys, cut(long_pairs))
-        parts.append(counts.select(F.lit(mode).alias("mode"), "key", "class_key", "n_links"))
+        mode, key = _named("key")
+        parts.append(counts.select(mode, key.alias("key"), _named("class_key")[1].alias("class_key"), "n_links"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -56,7 +56,9 @@ def band_buckets(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def buckets_column(values: Column, bands: int, rows: int) -> Column:
+def buckets_column(values: Column, bands: int, rows: int, part: Column) -> Column:
+    """Buckets of a set; sets of different parts share none."""
+
     @F.pandas_udf("array<bigint>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -73,7 +75,7 @@ def buckets_column(values: Column, bands: int, rows: int) -> Column:
                 at = end
             yield pd.Series(parts)
 
-    return of(F.transform(values, lambda v: F.xxhash64(v)))
+    return of(F.transform(values, lambda v: F.xxhash64(part, v)))
 
 
 def sets_of_arrays(df: DataFrame, key: str, values: str, min_size: int = 1) -> DataFrame:
@@ -84,16 +86,17 @@ def sets_of_arrays(df: DataFrame, key: str, values: str, min_size: int = 1) -> D
     return grouped.select("key", "set", F.size("set").alias("size")).where(F.col("size") >= min_size)
 
 
-def sets_of_rows(df: DataFrame, key: str, value: str, min_size: int = 1, row_values: int = ROW_VALUES) -> tuple[DataFrame, DataFrame]:
-    """Sets given as one row per key and value: (``key, set, size`` up to ``row_values``, ``key, value, size`` of the longer and nearly as long ones).
+def sets_of_rows(df: DataFrame, key: str, value: str, min_size: int = 1, *, threshold: float, row_values: int = ROW_VALUES) -> tuple[DataFrame, DataFrame]:
+    """Sets given as one row per key and value: (``key, set, size`` up to ``row_values``, ``key, value, size`` of the longer ones and of all that may pair with one).
 
-    Sizes are counted before any set is gathered, so no task holds more than ``row_values`` values of a key.
+    Sizes are counted before any set is gathered, so no task holds more than ``row_values`` values of a key. Two sets reach ``threshold``
+    only if the smaller has that share of the larger one's size, so sets from ``threshold * row_values`` on meet the long ones, whatever the threshold.
     """
     rows = cut(df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).alias("value")).distinct())
     sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size")).where(F.col("size") >= min_size))
     sized = lookup_join(rows, sizes, "key", "inner")
     short = sized.where(F.col("size") <= row_values).groupBy("key", "size").agg(F.array_sort(F.collect_list("value")).alias("set"))
-    return short.select("key", "set", "size"), sized.where(F.col("size") > row_values // 2)
+    return short.select("key", "set", "size"), sized.where(F.col("size") >= F.lit(threshold - 1e-9) * F.lit(row_values))
 
 
 def _may_match(a: str, b: str, threshold: float) -> Column:
@@ -103,31 +106,36 @@ def _may_match(a: str, b: str, threshold: float) -> Column:
 
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs by an exact prefix join: values ordered by how many sets hold them, rarest first."""
-    tokens = sets.select("rep", "size", F.explode("set").alias("value"))
-    often = cut(tokens.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
-    ranked = lookup_join(tokens, often, "value", "inner")
-    ordered = ranked.groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("o"))
+    tokens = sets.select("rep", "part", "size", F.explode("set").alias("value"))
+    often = cut(tokens.groupBy("value", "part").agg(F.count(F.lit(1)).alias("n")))
+    ranked = lookup_join(tokens, often, ["value", "part"], "inner")
+    ordered = ranked.groupBy("rep", "part", "size").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("o"))
     keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold - 1e-9)).cast("int") + 1
-    prefix = ordered.select("rep", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("t")).select("rep", "size", "t.value")
-    a = prefix.select("value", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"))
-    b = prefix.select("value", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"))
-    return a.join(b, "value").where((F.col("rep_a") < F.col("rep_b")) & _may_match("size_a", "size_b", threshold)).select("rep_a", "rep_b").distinct()
+    prefix = ordered.select("rep", "part", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("t")).select("rep", "part", "size", "t.value")
+    a = prefix.select("value", "part", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"))
+    b = prefix.select("value", "part", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"))
+    return a.join(b, ["value", "part"]).where((F.col("rep_a") < F.col("rep_b")) & _may_match("size_a", "size_b", threshold)).select("rep_a", "rep_b").distinct()
 
 
 def similar_classes(
-    sets: DataFrame, threshold: float, *, bands: int = BANDS, rows: int = ROWS, bucket_classes: int = BUCKET_CLASSES
+    sets: DataFrame, threshold: float, *, bands: int = BANDS, rows: int = ROWS, bucket_classes: int = BUCKET_CLASSES, apart: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(members ``key, rep``, pairs ``rep_a, rep_b, jaccard``) of ``sets(key, set, size)``, one row per key.
 
     Keys with equal sets have one class, named by the smallest key; pairs are of different classes with
-    ``rep_a < rep_b``. Sets must be sorted, distinct and not empty. No sets give no rows.
+    ``rep_a < rep_b``. Sets must be sorted, distinct and not empty. No sets give no rows. ``apart``, an expression over ``key``, keeps
+    collections apart that go through one run: only sets for which it is equal are compared.
+
+    A set that a large share of all keys holds is one class; its keys find their class by a lookup that spreads them.
     """
-    sets = cut(sets.select("key", "set", "size", F.xxhash64("set").alias("d1"), F.xxhash64(F.lit(SEED), "set").alias("d2")))
-    classes = cut(sets.groupBy("d1", "d2", "size").agg(F.min("key").alias("rep")))
-    members = sets.select("key", "d1", "d2", "size").join(classes, ["d1", "d2", "size"]).select("key", "rep")
-    heads = sets.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").select(F.col("key").alias("rep"), "size", "set")
-    heads = cut(heads)
-    spread = heads.select("rep", "size", F.posexplode(buckets_column(F.col("set"), bands, rows)).alias("band", "bucket"))
+    part = F.lit(0) if apart is None else apart
+    digest = F.concat_ws(":", F.xxhash64(part, "set"), F.xxhash64(F.lit(SEED), part, "set"), "size")
+    sets = cut(sets.select("key", "set", "size", part.alias("part"), digest.alias("digest")))
+    # all sets of a digest are equal, so any of them is the class's
+    heads = cut(sets.groupBy("digest").agg(F.min("key").alias("rep"), F.first("part").alias("part"), F.first("size").alias("size"), F.first("set").alias("set")))
+    members = lookup_join(sets.select("key", "digest"), heads.select("digest", "rep"), "digest", "inner").select("key", "rep")
+    heads = heads.select("rep", "part", "size", "set")
+    spread = heads.select("rep", "size", F.posexplode(buckets_column(F.col("set"), bands, rows, F.col("part"))).alias("band", "bucket"))
     spread = cut(spread)
     crowded = cut(spread.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_classes))
     both = ["band", "bucket"]
