@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tracewright.plans import catalogue
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -28,12 +29,12 @@ def db(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, sf, db, name):
-    df = entry.queries()[name](spark, sf)
+    df = catalogue.queries()[name](spark, sf)
     columns = sorted(df.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    sql = entry.oracle_sql().get(name)
+    sql = catalogue.oracle_sql().get(name)
     if sql is None:
         return
     found = db.execute(sql)

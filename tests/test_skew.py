@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tracewright.operators.skew import aggregate_skewed, count_distinct_rows, heavy_keys, heavy_share, lookup_join, split_heavy
+from tracewright.operators.skew import aggregate_skewed, count_distinct_rows, heavy_keys, heavy_share, lookup_join, running_totals, split_heavy, spread_join
 
 
 def skewed(spark):
@@ -66,3 +66,26 @@ def test_lookup_join_is_the_same_on_every_way(spark):
         two, pair = df.withColumn("y", F.lit(7)), dim.withColumn("y", F.lit(7))
         plain = sorted(map(str, two.join(pair, ["k", "y"], how).collect()))
         assert sorted(map(str, lookup_join(two, pair, ["k", "y"], how, broadcast_rows=1, heavy=["hot"]).collect())) == plain
+
+
+def test_running_totals(spark):
+    rows = [(i, i * 7 % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "o int, v int").withColumn("one", F.lit(1))
+    got = {r.o: (r.s, r.n) for r in running_totals(df.repartition(5), "o", {"s": "v", "n": "one"}).collect()}
+    held = 0
+    for o, v in rows:
+        held += v
+        assert got[o] == (held, o + 1)
+    assert running_totals(df.limit(0), "o", {"s": "v"}).count() == 0
+
+
+def test_spread_join_is_the_plain_join_and_spreads_a_hot_key(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i % 50}", i) for i in range(1800)], "k string, a int")
+    right = spark.createDataFrame([("hot", i) for i in range(60)] + [(f"k{i % 50}", i) for i in range(120)], "k string, b int")
+    plain = sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
+    for heavy in (None, [], ["hot"]):
+        got = spread_join(left, right, "k", "a", heavy=heavy, salts=8).select("k", "a", "b")
+        assert sorted(map(tuple, got.collect())) == plain
+    assert spread_join(left.limit(0), right, "k", "a").count() == 0
+    hot = left.where("k = 'hot'").withColumn("s", F.pmod(F.xxhash64("a"), F.lit(8)))
+    assert max(r["count"] for r in hot.groupBy("s").count().collect()) < 3 * 900 / 8

@@ -129,3 +129,26 @@ def test_fingerprints_against_a_plain_model():
     for k, w in ((0, 4), (5, 0)):
         with pytest.raises(ValueError):
             Winnower(k, w)
+
+
+def test_registered_languages_reach_the_workers(spark):
+    from tracewright.functions.languages import REGISTRY, Grammar, Language, register_language
+    from tracewright.functions.tokens import flatten_by_language, tokens
+
+    register_language(Language("Zed", (".zz",), Grammar(("%%",)), frozenset({"loop"})))
+    try:
+        df = spark.createDataFrame([("loop if x %% gone", ".zz"), ("if x 1 # y", ".py"), ("if loop", ".unknown"), (None, ".zz"), ("<!-- c -->t", ".html")], "t string, e string")
+        rows = df.select(clean(F.col("t"), F.col("e")).alias("c"), flatten_by_language(tokens(F.col("t")), F.col("e")).alias("f")).collect()
+        assert [r.c for r in rows] == ["loop if x ", "if x 1 ", "if loop", None, "t"]
+        assert rows[0].f[:3] == ["loop", "ID", "ID"] and rows[1].f[:3] == ["if", "ID", "LIT"] and rows[2].f == ["if", "loop"] and rows[3].f is None
+    finally:
+        for e in (".zz",):
+            REGISTRY._by_extension.pop(e)
+
+
+def test_default_ignores():
+    from tracewright.sources.srctree import DEFAULT_IGNORES, should_ignore
+
+    gone = ["a/node_modules", "x.pyc", "A$py.class", "B.class", "web/.next", "venv", "target", ".DS_Store"]
+    assert all(should_ignore(p, DEFAULT_IGNORES) for p in gone)
+    assert not any(should_ignore(p, DEFAULT_IGNORES) for p in ("a/environment.py", "targets.c", "src/x.py", "classy.java"))

@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from tracewright.plans.pipeline import Config, Outputs, load_filter, load_ignore_file, run_pipeline
+from tracewright.sources.srctree import DEFAULT_IGNORES
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--uncompared-files", choices=("inline", "separate", "none"), default="inline")
     p.add_argument("--binary-handling", choices=("exclude", "hash", "error"), default="hash")
     p.add_argument("--ignore-file")
+    p.add_argument("--default-ignores", action="store_true", help="leave out build output, caches and editor folders, besides what --ignore-file names")
     p.add_argument("--filter-json")
     p.add_argument("--unreadable-log")
     p.add_argument("--max-file-size", type=float, default=10.0)
@@ -58,7 +60,7 @@ def settings(args: argparse.Namespace) -> tuple[Config, Outputs]:
         **{name: getattr(args, name) for name in same},
         encoding=None if args.encoding == "auto" else args.encoding,
         autojunk=not args.no_autojunk,
-        ignore=load_ignore_file(args.ignore_file) if args.ignore_file else (),
+        ignore=(load_ignore_file(args.ignore_file) if args.ignore_file else ()) + (DEFAULT_IGNORES if args.default_ignores else ()),
         filter_paths=load_filter(args.filter_json) if args.filter_json else None,
     )
     outputs = Outputs(

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracewright.functions.languages import REGISTRY, Grammar
+from tracewright.functions.languages import REGISTRY, Grammar, Registry
 
 # What may stand before a regular expression literal.
 _REGEX_AFTER = frozenset("(,;{}[=+-*%&|^!~<>?:")
@@ -205,9 +205,9 @@ def _scanner(grammar: Grammar) -> _Scanner:
     return _Scanner(grammar)
 
 
-def strip_comments(text: str, extension: str, squash_blanks: bool = False) -> str:
+def strip_comments(text: str, extension: str, squash_blanks: bool = False, grammars: dict[str, Grammar] | None = None) -> str:
     """Text without comments by the grammar of ``extension`` (lower case, with its dot); unchanged if unknown."""
-    grammar = REGISTRY.grammar(extension)
+    grammar = REGISTRY.grammar(extension) if grammars is None else grammars.get(extension)
     if grammar is None or not (grammar.line or grammar.block):
         return text
     if grammar.if_zero:
@@ -216,10 +216,16 @@ def strip_comments(text: str, extension: str, squash_blanks: bool = False) -> st
     return _BLANKS.sub("\n\n", text) if squash_blanks else text
 
 
-@F.pandas_udf(StringType())
-def strip_comments_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, extensions in batches:
-        yield pd.Series([None if t is None else strip_comments(t, e or "") for t, e in zip(texts, extensions, strict=True)], dtype=object)
+def strip_comments_udf(registry: Registry = REGISTRY):
+    """The function of (text, extension) for the cluster, with the grammars that are registered now."""
+    grammars = registry.grammars()
+
+    @F.pandas_udf(StringType())
+    def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, extensions in batches:
+            yield pd.Series([None if t is None else strip_comments(t, e or "", grammars=grammars) for t, e in zip(texts, extensions, strict=True)], dtype=object)
+
+    return strip
 
 
 def _without(text: Column, segments: str, opening: str) -> Column:
@@ -237,9 +243,7 @@ def strip_css_comments(text: Column) -> Column:
 
 
 def clean(text: Column, extension: Column) -> Column:
-    """Text without comments; markup stays in the JVM, other languages go through Arrow."""
-    return (
-        F.when(extension.isin(".html", ".htm", ".xml", ".svg"), strip_markup_comments(text))
-        .when(extension == ".css", strip_css_comments(text))
-        .otherwise(strip_comments_udf(text, extension))
-    )
+    """Text without comments; markup stays in the JVM, other languages go through Arrow, which gets nothing of the rest."""
+    tags, sheet = extension.isin(".html", ".htm", ".xml", ".svg"), extension == ".css"
+    other = F.when(~F.coalesce(tags | sheet, F.lit(False)), text)
+    return F.when(tags, strip_markup_comments(text)).when(sheet, strip_css_comments(text)).otherwise(strip_comments_udf()(other, extension))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -32,21 +32,46 @@ _HASH = Grammar(("#",))
 _TAGS = Grammar((), ("<!--", "-->"), quotes=(), templates=())
 _SHEET = Grammar(("//",), ("/*", "*/"))
 
+# Keywords that identifier flattening by language keeps. Other languages get theirs by ``register_language`` or ``with_keywords``.
+C_KEYWORDS = frozenset(
+    "if else for while do switch case break continue return goto struct typedef enum union static const volatile extern register inline"
+    " void int long float double char short unsigned signed sizeof true false null define include".split()
+)
+JAVA_KEYWORDS = frozenset(
+    "if else for while do switch case break continue return try catch finally throw throws class interface enum extends implements import package new instanceof"
+    " void int long float double char boolean byte short string public private protected default static final abstract synchronized true false null this super".split()
+)
+SCRIPT_KEYWORDS = frozenset(
+    "if else for while do switch case break continue return try catch finally throw function class extends import from var let const new delete instanceof typeof"
+    " export default static async await yield true false null this super undefined".split()
+)
+TYPED_SCRIPT_KEYWORDS = frozenset(
+    "interface enum type implements public private protected abstract readonly declare namespace module void string number boolean any never".split()
+)
+PYTHON_KEYWORDS = frozenset(
+    "if else elif for while break continue return try except finally raise with as class def import from lambda yield async await and or not in is"
+    " True False None global nonlocal pass del assert true false null self".split()
+)
+GO_KEYWORDS = frozenset(
+    "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
+    " int string bool float byte true false nil".split()
+)
+
 # Extensions and markers of each language.
 _BUILT_IN = (
-    Language("C", (".c", ".h"), _C_LIKE),
+    Language("C", (".c", ".h"), _C_LIKE, C_KEYWORDS),
     Language("C++", (".cpp", ".hpp", ".cc"), _C_LIKE),
     Language("C#", (".cs",), _C_LIKE),
-    Language("Java", (".java",), _C_LIKE),
+    Language("Java", (".java",), _C_LIKE, JAVA_KEYWORDS),
     Language("Kotlin", (".kt", ".kts"), _C_LIKE),
     Language("Scala", (".scala",), _C_LIKE),
-    Language("JavaScript", (".js", ".jsx", ".mjs"), _SCRIPT),
-    Language("TypeScript", (".ts",), _SCRIPT),
-    Language("TSX", (".tsx",), _SCRIPT),
-    Language("Go", (".go",), _C_LIKE),
+    Language("JavaScript", (".js", ".jsx", ".mjs"), _SCRIPT, SCRIPT_KEYWORDS),
+    Language("TypeScript", (".ts",), _SCRIPT, SCRIPT_KEYWORDS | TYPED_SCRIPT_KEYWORDS),
+    Language("TSX", (".tsx",), _SCRIPT, SCRIPT_KEYWORDS | TYPED_SCRIPT_KEYWORDS),
+    Language("Go", (".go",), _C_LIKE, GO_KEYWORDS),
     Language("Rust", (".rs",), _C_LIKE),
     Language("Swift", (".swift",), _C_LIKE),
-    Language("Python", (".py", ".pyw"), _HASH),
+    Language("Python", (".py", ".pyw"), _HASH, PYTHON_KEYWORDS),
     Language("Ruby", (".rb",), Grammar(("#",), ("=begin", "=end"), block_at_line_start=True)),
     Language("PHP", (".php",), Grammar(("//", "#"), ("/*", "*/"))),
     Language("Perl", (".pl", ".pm"), _HASH),
@@ -98,10 +123,21 @@ class Registry:
         return found.grammar if found else None
 
     def keywords(self, extension: str | None) -> frozenset[str]:
-        """Common keywords and those registered for the extension; for an unknown extension, those of all languages."""
+        """Keywords of the extension's language, the common ones if it has none; for an unknown extension those of all languages and the common ones."""
         found = self.find(extension or "")
-        own = found.keywords if found else frozenset().union(*(x.keywords for x in self._by_extension.values()))
-        return own | frozenset(COMMON_KEYWORDS)
+        if found:
+            return found.keywords or frozenset(COMMON_KEYWORDS)
+        return frozenset(COMMON_KEYWORDS).union(*(x.keywords for x in self._by_extension.values()))
+
+    def with_keywords(self, extension: str, keywords) -> None:
+        """Give the language of a known extension its keywords."""
+        found = self._by_extension[extension]
+        changed = replace(found, keywords=frozenset(keywords))
+        self._by_extension.update(dict.fromkeys(found.extensions, changed))
+
+    def grammars(self) -> dict[str, Grammar]:
+        """Grammars by extension as they are now: what a function for the workers carries along."""
+        return {e: x.grammar for e, x in self._by_extension.items()}
 
     def extensions(self) -> list[str]:
         return sorted(self._by_extension)
@@ -111,5 +147,5 @@ REGISTRY = Registry()
 
 
 def register_language(language: Language) -> None:
-    """Add a language to the registry that all functions use by default."""
+    """Add a language to the registry. Queries planned from now on know it, on the workers too: they carry the grammars along."""
     REGISTRY.register(language)

@@ -17,7 +17,7 @@ def register_functions(spark: SparkSession) -> None:
     from tracewright.session import ship
 
     ship(spark)
-    for name, function in (("tw_strip_comments", strip_comments_udf), ("tw_indel_ratio", indel_ratio_udf), ("tw_fnv", fnv_mod), ("tw_lex", lexed_udf)):
+    for name, function in (("tw_strip_comments", strip_comments_udf()), ("tw_indel_ratio", indel_ratio_udf), ("tw_fnv", fnv_mod), ("tw_lex", lexed_udf)):
         spark.udf.register(name, function)
 
     @udtf(returnType="h bigint, pos int")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.skew import lookup_join
+
+#: Cases whose originals, two fingerprint sets each, may be broadcast.
+CASES = 2_000
 #: Token bounds of the size bins.
 SMALL, LARGE = 150, 600
 LEVELS = (1, 2, 3, 4, 5, 6)
@@ -122,7 +126,7 @@ def pair_scores(docs: DataFrame, original: Column) -> DataFrame:
     One row per submission is expected. Submissions with a level are positives, others negatives; an empty union scores 0.
     """
     first = docs.where(original).select("case_name", *(F.col(c).alias(f"o_{c}") for c in ("raw_fp", "norm_fp", "tokens")))
-    both = docs.where(~original).join(first, "case_name")
+    both = lookup_join(docs.where(~original), first, "case_name", "inner", broadcast_rows=CASES)
 
     def score(fp: str) -> Column:
         x, y = (F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<bigint>")), lambda v: v.isNotNull())) for c in (F.col(fp), F.col(f"o_{fp}")))

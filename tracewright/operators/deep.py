@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.fingerprints import K, W, fingerprints
 from tracewright.functions.tokens import token_channel, tokens
+from tracewright.operators.skew import lookup_join, running_totals, spread_join
+from tracewright.session import cut
 
 THRESHOLD = 0.05
 #: Threshold in per cent of flattened fingerprints, and the tokens below which such a match is inconclusive.
@@ -35,18 +37,18 @@ def _sides(a: DataFrame, b: DataFrame) -> list[DataFrame]:
 
 
 def _capped(side: DataFrame, entries: int) -> DataFrame:
-    """Hashes of the first documents, as many as an index of this size holds; sizes stay those of the whole sets. One row per document is ordered."""
-    before = F.sum("n_b").over(Window.orderBy("doc_b")) - F.col("n_b")
-    kept = side.withColumn("before", before).where(F.col("before") < entries)
+    """Hashes of the first documents, as many as an index of this size holds; sizes stay those of the whole sets. Only sizes are summed up in order."""
+    before = running_totals(side.select("doc_b", "n_b"), "doc_b", {"total": "n_b"}).select("doc_b", (F.col("total") - F.col("n_b")).alias("before"))
+    kept = side.join(before.where(F.col("before") < entries), "doc_b")
     room = F.greatest(F.lit(0), F.least(F.col("n_b"), F.lit(entries) - F.col("before"))).cast("int")
     return kept.withColumn("hs", F.slice(F.array_sort("hs"), F.lit(1), room)).drop("before")
 
 
 def _counted(left: DataFrame, right: DataFrame, bound: Column) -> DataFrame:
-    """Shared hashes of all pairs that share one: the inverted index as a hash join, counted with partial aggregation."""
+    """Shared hashes of all pairs that share one: the inverted index as a join that spreads frequent hashes, counted with partial aggregation."""
     a = left.select("doc_a", "t_a", "n_a", F.explode("hs").alias("h"))
     keys = ["doc_a", "doc_b", "n_a", "n_b", "t_a", "t_b"]
-    return a.join(right, "h").where(bound).groupBy(*keys).agg(F.count(F.lit(1)).alias("shared"))
+    return spread_join(a, right, "h", "doc_a").where(bound).groupBy(*keys).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _by_prefix(left: DataFrame, right: DataFrame, bound: Column, threshold: float) -> DataFrame:
@@ -56,15 +58,15 @@ def _by_prefix(left: DataFrame, right: DataFrame, bound: Column, threshold: floa
     the candidates are counted exactly.
     """
     every = left.select(F.explode("hs").alias("h")).unionByName(right.select(F.explode("hs").alias("h")))
-    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    often = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("df")))
 
     def prefix(side: DataFrame, s: str) -> DataFrame:
-        rows = side.select(f"doc_{s}", f"n_{s}", F.explode("hs").alias("h")).join(often, "h")
+        rows = lookup_join(side.select(f"doc_{s}", f"n_{s}", F.explode("hs").alias("h")), often, "h", "inner")
         ordered = rows.groupBy(f"doc_{s}", f"n_{s}").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
         keep = (F.col(f"n_{s}") - F.ceil(F.col(f"n_{s}") * F.lit(threshold) * F.lit(1 - 1e-9)) + 1).cast("int")
         return ordered.select(f"doc_{s}", f"n_{s}", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select(f"doc_{s}", f"n_{s}", "x.h")
 
-    pairs = prefix(left, "a").join(prefix(right, "b"), "h").where(bound).select("doc_a", "doc_b").distinct()
+    pairs = spread_join(cut(prefix(left, "a")), cut(prefix(right, "b")), "h", "doc_a").where(bound).select("doc_a", "doc_b").distinct()
     full = pairs.join(left, "doc_a").withColumnRenamed("hs", "hs_a").join(right, "doc_b")
     return full.select("doc_a", "doc_b", "n_a", "n_b", "t_a", "t_b", F.size(F.array_intersect("hs_a", "hs")).cast("long").alias("shared"))
 

@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import fresh
+from tracewright.session import cut, fresh
 
 #: A key is heavy from this part of a mean shuffle partition on, and in any case from ``HEAVY_SHARE`` of all rows on. The share has a
 #: floor, so that the list of heavy keys, at most 2 / share of them, may always be broadcast.
@@ -152,5 +152,40 @@ def lookup_join(
     return hot.join(F.broadcast(few), keys, how).unionByName(rest.join(small, keys, how))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], spread_by: str, *, salts: int = 64, heavy: Sequence | None = None) -> DataFrame:
+    """Inner join of two sides that both repeat keys. Pairs of a heavy key are made by ``salts`` tasks: its left rows are dealt out by a hash of
+    ``spread_by``, and its right rows go to each. What is heavy is looked for on both sides, by the first key column.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    heavy = heavy_keys(left.select(keys[0]).unionByName(right.select(keys[0])), keys[0]) if heavy is None else heavy
+    if not heavy:
+        return left.join(right, keys)
+    hot_l, rest_l = split_heavy(left, keys[0], heavy)
+    hot_r, rest_r = split_heavy(right, keys[0], heavy)
+    salt = fresh(left.select(*left.columns, *(F.lit(0).alias(c) for c in right.columns if c not in left.columns)), "salt")
+    dealt = hot_l.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copied = hot_r.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rest_l.join(rest_r, keys).unionByName(dealt.join(copied, [*keys, salt]).drop(salt))
+
+
+def running_totals(df: DataFrame, order: str, totals: dict[str, str]) -> DataFrame:
+    """``df`` with running sums: for each ``name: column`` of ``totals`` the sum of the column over all rows up to each, in the order of the unique column ``order``.
+
+    Ranges of the order are summed by themselves; a few numbers per range go to the driver and back. No task sees more than its range.
+    """
+    part = fresh(df, "part")
+    rows = cut(df.repartitionByRange(F.col(order)).withColumn(part, F.spark_partition_id()))
+    sums = rows.groupBy(part).agg(*(F.sum(c).alias(n) for n, c in totals.items())).orderBy(part).collect()
+    up_to = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, column in totals.items():
+        before, held = {}, 0
+        for r in sums:
+            before[r[part]] = held
+            held += r[name] or 0
+        offset = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col(part)) if before else F.lit(0)
+        rows = rows.withColumn(name, F.sum(column).over(up_to) + offset)
+    return rows.drop(part)
+
+
 def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

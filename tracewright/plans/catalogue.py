@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import file_queries, hot_hashes, score_queries
+from tracewright.plans import file_queries, hot_hashes, report_queries, score_queries
 
-MODULES = (hot_hashes, file_queries, score_queries)
+MODULES = (hot_hashes, file_queries, report_queries, score_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

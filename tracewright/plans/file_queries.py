@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as T
 from tracewright.functions.comments import clean, strip_css_comments, strip_markup_comments
 from tracewright.functions.fingerprints import fingerprints, fnv_mod, kgram_hashes
-from tracewright.functions.tokens import TOKEN, flatten, tokens
 from tracewright.functions.languages import COMMON_KEYWORDS
+from tracewright.functions.tokens import flatten, tokens
 from tracewright.operators import deep, diffs, matching
 from tracewright.session import cut, spread, table
 
@@ -85,12 +85,13 @@ def q_fingerprint_df(spark, sf):
     return once.groupBy("h").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_entries"))
 
 
+def deep_sets(spark, sf, normalize=False) -> DataFrame:
+    docs = spread(files(spark, sf, "content").where("content is not null").select("side", "rel_path", "content"))
+    return deep.fingerprint_sets(docs.select(F.struct("side", "rel_path").alias("doc"), "content"), "doc", "content", normalize=normalize)
+
+
 def _deep(spark, sf, threshold=deep.THRESHOLD, normalize=False) -> DataFrame:
-    sets = cut(
-        deep.fingerprint_sets(
-            spread(files(spark, sf, "content").where("content is not null").select("side", "rel_path", "content")).select(F.struct("side", "rel_path").alias("doc"), "content"), "doc", "content", normalize=normalize
-        )
-    )
+    sets = cut(deep_sets(spark, sf, normalize))
     a, b = (sets.where(F.col("doc.side") == s).withColumn("doc", F.col("doc.rel_path")) for s in "AB")
     return deep.deep_matches(a, b, threshold, normalize=normalize)
 
@@ -196,7 +197,7 @@ def q_prescan(spark, sf):
     return total.join(pairs, "tree", "left").na.fill(0, ["n_pairs", "complexity"])
 
 
-def _text_pairs(spark, sf) -> DataFrame:
+def text_pairs(spark, sf) -> DataFrame:
     """Files matched by equal paths, with both contents."""
     one = files(spark, sf, "content").where("content is not null")
     a = one.where("side = 'A'").select("tree_path", F.col("content").alias("text_a"))
@@ -205,23 +206,23 @@ def _text_pairs(spark, sf) -> DataFrame:
 
 def q_pair_metrics(spark, sf):
     d = diffs.diff_column(F.col("text_a"), F.col("text_b"))
-    return _text_pairs(spark, sf).select("tree_path", d.alias("d")).select("tree_path", "d.ratio", "d.additions", "d.deletions")
+    return text_pairs(spark, sf).select("tree_path", d.alias("d")).select("tree_path", "d.ratio", "d.additions", "d.deletions")
 
 
 def q_pair_metric_invariants(spark, sf):
     """What holds of every difference whatever the alignment: lines of both sides, net change, and the ratio from the counters."""
     d = diffs.diff_column(F.col("text_a"), F.col("text_b"))
-    rows = _text_pairs(spark, sf).select("tree_path", d.alias("d")).select("tree_path", "d.*")
+    rows = text_pairs(spark, sf).select("tree_path", d.alias("d")).select("tree_path", "d.*")
     same = F.when(F.col("units_a") + F.col("units_b") == 0, F.lit(1.0)).otherwise(2 * (F.col("units_a") - F.col("deletions")) / (F.col("units_a") + F.col("units_b")))
     return rows.select("tree_path", "units_a", "units_b", (F.col("additions") - F.col("deletions")).alias("net"), (F.abs(same - F.col("ratio")) < 1e-12).alias("ratio_holds"), (F.col("ratio") == 1).alias("equal"))
 
 
 def q_opcodes(spark, sf):
     d = diffs.diff_column(F.col("text_a"), F.col("text_b"))
-    return _text_pairs(spark, sf).select("tree_path", F.posexplode(d["opcodes"]).alias("seq", "op")).select("tree_path", "seq", "op.*")
+    return text_pairs(spark, sf).select("tree_path", F.posexplode(d["opcodes"]).alias("seq", "op")).select("tree_path", "seq", "op.*")
 
 
-def _rotated(spark, sf) -> DataFrame:
+def rotated(spark, sf) -> DataFrame:
     """Each readable file against itself with its middle third of lines moved to the end: pairs that are known to hold a move."""
     one = files(spark, sf, "content").where("content is not null").select("rel_path", T.split_lines(F.col("content")).alias("a"))
     n = F.size("a")
@@ -230,31 +231,20 @@ def _rotated(spark, sf) -> DataFrame:
     return one.where(n >= 9).select(F.col("rel_path").alias("tree_path"), F.array_join("a", "\n").alias("text_a"), F.array_join(turned, "\n").alias("text_b"))
 
 
-def _with_opcodes(pairs: DataFrame) -> DataFrame:
+def with_opcodes(pairs: DataFrame) -> DataFrame:
     d = diffs.diff_column(F.col("text_a"), F.col("text_b"))
     return cut(pairs.select("tree_path", T.split_lines(F.col("text_a")).alias("a"), T.split_lines(F.col("text_b")).alias("b"), d["opcodes"].alias("ops")))
 
 
 def q_moved_blocks(spark, sf):
     """Moved blocks of the matched pairs, and of each file against itself with its middle third moved to the end."""
-    pairs = _with_opcodes(spread(_text_pairs(spark, sf).unionByName(_rotated(spark, sf).withColumn("tree_path", F.concat(F.lit("turned:"), "tree_path")))))
+    pairs = with_opcodes(spread(text_pairs(spark, sf).unionByName(rotated(spark, sf).withColumn("tree_path", F.concat(F.lit("turned:"), "tree_path")))))
     return diffs.moved_blocks(pairs, "tree_path", "a", "b", "ops")
 
 
-def q_moved_line_invariants(spark, sf):
-    """What holds of every move: the lines of both sides say the same, go down in step, and no line is moved twice."""
-    pairs = _with_opcodes(spread(_rotated(spark, sf)))
-    moves = diffs.moved_blocks(pairs, "tree_path", "a", "b", "ops")
-    rows = moves.select("tree_path", "move_id", F.explode(F.arrays_zip("a_lines", "b_lines")).alias("l")).select("tree_path", "move_id", "l.*")
-    said = rows.join(pairs.select("tree_path", "a", "b"), "tree_path")
-    same = T.collapse_line(F.get("a", F.col("a_lines"))) == T.collapse_line(F.get("b", F.col("b_lines")))
-    per_move = said.groupBy("tree_path", "move_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("wrong"), F.count_distinct(F.col("b_lines") - F.col("a_lines")).alias("far"))
-    return per_move.agg(F.count_if(F.col("n") < 3).alias("short"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("unequal"), F.count_if(F.col("far") != 1).alias("uneven"))
-
-
 def q_diff_rows(spark, sf):
     d = diffs.diff_column(F.col("text_a"), F.col("text_b"))
-    pairs = _text_pairs(spark, sf).select("tree_path", T.split_lines(F.col("text_a")).alias("a"), T.split_lines(F.col("text_b")).alias("b"), d["opcodes"].alias("ops"))
+    pairs = text_pairs(spark, sf).select("tree_path", T.split_lines(F.col("text_a")).alias("a"), T.split_lines(F.col("text_b")).alias("b"), d["opcodes"].alias("ops"))
     return diffs.diff_rows(pairs, "tree_path", "a", "b", "ops", context=3)
 
 

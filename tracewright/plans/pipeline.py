@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright import __version__
 from tracewright.functions.comments import clean
-from tracewright.functions.text import normalize_ws, split_lines, squash_blank_lines, suffix
+from tracewright.functions.text import normalize_ws, split_lines, squash_blank_lines, suffix, wrap_cjk
 from tracewright.operators import deep, diffs, evidence, matching
 from tracewright.session import cut, spread
 from tracewright.sinks import reports
@@ -113,6 +113,7 @@ def compare_pairs(matches: DataFrame, a: DataFrame, b: DataFrame, config: Config
         shown = reports.html_column(
             F.col("lines_a"), F.col("lines_b"), F.col("ops"), F.col("moves"), cap_bytes=int(config.max_diff_html_size * (1 << 20)), context=3 if config.collapse_identical else -1
         )
+        shown = wrap_cjk(shown)
     return kept.select(
         *matches.columns,
         F.when(as_error, F.lit(0.0)).when(by_hash, F.col("equal").cast("double")).otherwise(F.col("d.ratio")).alias("ratio"),
@@ -224,7 +225,9 @@ def run_pipeline(spark: SparkSession, dir_a: str, dir_b: str, config: Config = C
     if config.metrics_only and (outputs.html or outputs.html_folder):
         config = replace(config, metrics_only=False)
     run = compare(spark, dir_a, dir_b, config)
-    run["report"] = report = reports.report_dict(run)
+    # the report holds every pair on the driver: it is built for those who ask for one to read, with pages only where these go into it
+    wanted = outputs.json or outputs.markdown or outputs.html or outputs.html_folder
+    run["report"] = report = reports.report_dict(run, pages=bool(outputs.json or outputs.html)) if wanted else None
     written: list[Path] = []
     hashes = {s: evidence.hash_entries(run["files"][s]) for s in "ab"}
     if outputs.json:
@@ -237,7 +240,7 @@ def run_pipeline(spark: SparkSession, dir_a: str, dir_b: str, config: Config = C
         page = reports.write_html(report, Path(outputs.html), table)
         written += [page, evidence.write_signature(page)]
     if outputs.html_folder:
-        written.append(reports.write_html_pages(report, Path(outputs.html_folder), outputs.preserve_tree))
+        written.append(reports.write_html_pages(run["results"], report, Path(outputs.html_folder), outputs.preserve_tree))
     if outputs.exhibits:
         pages = F.greatest(F.lit(1), F.ceil((F.col("additions") + F.col("deletions")) / 60))
         index = reports.exhibit_index(run["results"], pages, bates_prefix=outputs.bates_prefix, bates_suffix=outputs.bates_suffix, bates_start=outputs.bates_start)

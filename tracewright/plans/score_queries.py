@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import calibrate
+from tracewright.operators.skew import lookup_join
 from tracewright.session import cut, table
 
 
@@ -18,8 +19,9 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each case's first submission against its others."""
-    docs = submissions(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("case_name").orderBy("doc_key")))
-    return calibrate.pair_scores(docs.where("case_name is not null"), F.col("n") == 1).where("tokens_min is not null")
+    docs = cut(submissions(spark, sf_dir).where("case_name is not null"))
+    firsts = docs.groupBy("case_name").agg(F.min("doc_key").alias("first_key"))
+    return calibrate.pair_scores(lookup_join(docs, firsts, "case_name", "inner"), F.col("doc_key") == F.col("first_key")).where("tokens_min is not null")
 
 
 def q_pair_scores(spark, sf):

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import md_escape, natural_key
 from tracewright.operators.disclosure import normalize_disclosure
+from tracewright.operators.skew import running_totals
 
-STYLE = "table{border-collapse:collapse;font:12px monospace}td{padding:0 6px;vertical-align:top;white-space:pre-wrap}.delete{background:#fdd}.insert{background:#dfd}.replace{background:#ffd}.moved{background:#ddf}.fold{color:#888}.word-del{background:#f99}.word-add{background:#9f9}"
+STYLE = "table{border-collapse:collapse;font:12px monospace}td{padding:0 6px;vertical-align:top;white-space:pre-wrap}.delete{background:#fdd}.insert{background:#dfd}.replace{background:#ffd}.moved{background:#ddf}.fold{color:#888}.word-del{background:#f99}.word-add{background:#9f9}.cjk{font-family:sans-serif}"
 SORTS = ("filename", "path", "similarity", "ratio")
 
 
@@ -98,11 +99,15 @@ def html_column(lines_a: Column, lines_b: Column, opcodes: Column, moves: Column
     return of(lines_a, lines_b, opcodes, none if moves is None else moves)
 
 
-def report_dict(run: dict) -> dict:
-    """The JSON report, from a run's metadata, results (with their columns), deep results and residues."""
+def report_dict(run: dict, pages: bool = True) -> dict:
+    """The JSON report, from a run's metadata, results (with their columns), deep results and residues: the form for people, one entry per pair.
+
+    Without ``pages`` the HTML of the pairs stays where it is. For results of any size there are tables (``write_tables``).
+    """
     meta, config = run["metadata"], run["config"]
     results = []
-    for r in run["results"].toLocalIterator():
+    found = run["results"] if pages else run["results"].drop("html")
+    for r in found.toLocalIterator():
         entry = {"file_a": r["rel_path_a"], "file_b": r["rel_path_b"], "name_similarity": r["similarity"], "ratio": r["ratio"], "additions": r["additions"], "deletions": r["deletions"]}
         entry |= {"html_diff": r["html"] or "" if "html" in r else "", "error": r["error"], "binary": r["binary"]}
         if r["hash_match"] is not None:
@@ -167,17 +172,28 @@ def html_page(title: str, body: str) -> str:
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>{STYLE}</style></head><body>{body}</body></html>'
 
 
+def _table(head: str, rows: list[list[str]]) -> str:
+    cells = "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in rows)
+    return f"<table><tr>{''.join(f'<th>{h}</th>' for h in head.split('|'))}</tr>{cells}</table>"
+
+
 def cover(report: dict, hashes: dict[str, list[dict]] | None = None) -> str:
-    meta = report["metadata"]
-    body = [f"<h1>{html.escape(report['dir_a'])} and {html.escape(report['dir_b'])}</h1>", *(f"<p><b>{html.escape(b)}</b></p>" for b in banners(meta)), "<table>"]
-    body += [f"<tr><td>{html.escape(k)}</td><td>{html.escape(str(v))}</td></tr>" for k, v in meta.items()]
-    body.append("</table><table><tr><th>file A</th><th>file B</th><th>name</th><th>line match</th></tr>")
-    body += [f"<tr><td>{html.escape(r['file_a'])}</td><td>{html.escape(r['file_b'])}</td><td>{r['name_similarity']:.1f}</td><td>{100 * r['ratio']:.1f} %</td></tr>" for r in report["results"]]
-    body.append("</table>")
+    """Settings, pairs with their line match and changed lines, files without a partner, deep matches, and digests if given."""
+    meta, safe = report["metadata"], html.escape
+    body = [f"<h1>{safe(report['dir_a'])} and {safe(report['dir_b'])}</h1>", *(f"<p><b>{safe(b)}</b></p>" for b in banners(meta))]
+    body.append(_table("setting|value", [[safe(k), safe(str(v))] for k, v in meta.items()]))
+    pairs = [[safe(r["file_a"]), safe(r["file_b"]), f"{r['name_similarity']:.1f}", f"{100 * r['ratio']:.1f} %", f"+{r['additions']}", f"&minus;{r['deletions']}"] for r in report["results"]]
+    body.append(_table("file A|file B|name|line match|added|deleted", pairs))
+    for side in "ab":
+        if report[f"unmatched_{side}"]:
+            body.append(f"<h2>Only in {side.upper()}</h2>" + _table("file", [[safe(n)] for n in report[f"unmatched_{side}"]]))
+    if report["deep_results"]:
+        rows = [
+            [safe(d["file_a"]), safe(m["file_b"]), str(m["shared_hashes"]), f"{100 * m['jaccard']:.2f} %", "inconclusive" if m["inconclusive"] else ""] for d in report["deep_results"] for m in d["matches"]
+        ]
+        body.append("<h2>Deep matches</h2>" + _table("file A|file B|shared|Jaccard|", rows))
     for side, entries in (hashes or {}).items():
-        body.append(f"<h2>{side}</h2><table>")
-        body += [f"<tr><td>{html.escape(e['rel_path'])}</td><td>{e['sha256'][:16]}&hellip;{e['sha256'][-8:]}</td></tr>" for e in entries]
-        body.append("</table>")
+        body.append(f"<h2>{side}</h2>" + _table("file|SHA-256", [[safe(e["rel_path"]), f"{e['sha256'][:16]}&hellip;{e['sha256'][-8:]}"] for e in entries]))
     return "".join(body)
 
 
@@ -189,35 +205,42 @@ def write_html(report: dict, out: Path, hashes: dict[str, list[dict]] | None = N
     return out
 
 
-def write_html_pages(report: dict, folder: Path, preserve_tree: bool = True) -> Path:
-    """One page per pair, in the tree of the A paths or numbered side by side, and an index."""
-    links = []
-    for n, r in enumerate(report["results"], 1):
-        name = f"{r['file_a']}.html" if preserve_tree else f"{n:03}_{re.sub(r'[^A-Za-z0-9._-]+', '_', r['file_a'].rsplit('/', 1)[-1])}.html"
-        target = folder / name
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_text(html_page(r["file_a"], r["html_diff"] or html.escape(r["error"] or "binary")), encoding="utf-8")
-        links.append(f'<li><a href="{html.escape(name)}">{html.escape(r["file_a"])}</a> {100 * r["ratio"]:.1f} %</li>')
+def write_html_pages(results: DataFrame, report: dict, folder: Path, preserve_tree: bool = True) -> Path:
+    """One page per pair, in the tree of the A paths or numbered side by side, and an index. Each task writes the pages of its rows, so ``folder`` is one that all workers share."""
     folder.mkdir(parents=True, exist_ok=True)
+    place, style = str(folder), STYLE
+    names = [f"{r['file_a']}.html" if preserve_tree else f"{n:03}_{re.sub(r'[^A-Za-z0-9._-]+', '_', r['file_a'].rsplit('/', 1)[-1])}.html" for n, r in enumerate(report["results"], 1)]
+    links = [f'<li><a href="{html.escape(name)}">{html.escape(r["file_a"])}</a> {100 * r["ratio"]:.1f} %</li>' for name, r in zip(names, report["results"], strict=True)]
+    named = results.sparkSession.createDataFrame([(r["file_a"], name) for r, name in zip(report["results"], names, strict=True)], "rel_path_a string, page string")
+
+    def write(rows) -> None:
+        for r in rows:
+            target = Path(place) / r["page"]
+            target.parent.mkdir(parents=True, exist_ok=True)
+            body = r["html"] or html.escape(r["error"] or "binary")
+            target.write_text(f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(r["rel_path_a"])}</title><style>{style}</style></head><body>{body}</body></html>', encoding="utf-8")
+
+    results.select("rel_path_a", "html", "error").join(named, "rel_path_a").foreachPartition(write)
     (folder / "index.html").write_text(html_page("index", cover(report) + "<ul>" + "".join(links) + "</ul>"), encoding="utf-8")
     return folder / "index.html"
 
 
+def short_digest(digest: Column) -> Column:
+    """A digest as tables show it."""
+    return F.concat(F.substring(digest, 1, 16), F.lit("…"), F.right(digest, F.lit(8)))
+
+
 def bates(number: Column, prefix: str = "", suffix: str = "", width: int = 4) -> Column:
     text = number.cast("string")
     return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0")), F.lit(suffix))
 
 
 def exhibit_index(results: DataFrame, pages: Column, *, bates_prefix: str = "", bates_suffix: str = "", bates_start: int | None = None) -> DataFrame:
-    """Exhibits in report order (column ``ord``) with the range of pages each takes, as Bates numbers if a start is given.
-
-    Running sums over one ordered window: the result is a table of contents for people, one row per exhibit.
-    """
-    order = Window.orderBy("ord")
-    last = F.sum("pages").over(order)
-    counted = results.withColumn("pages", pages.cast("long")).withColumn("last_page", last).withColumn("first_page", F.col("last_page") - F.col("pages") + 1)
+    """Exhibits in report order (column ``ord``, unique) with the range of pages each takes, as Bates numbers if a start is given. Running sums over ranges of the order."""
+    counted = running_totals(results.withColumn("pages", pages.cast("long")).withColumn("one", F.lit(1)), "ord", {"last_page": "pages", "exhibit": "one"})
+    counted = counted.withColumn("first_page", F.col("last_page") - F.col("pages") + 1)
     number = (lambda c: bates(c + F.lit(bates_start - 1), bates_prefix, bates_suffix)) if bates_start is not None else (lambda c: c.cast("string"))
-    return counted.select(F.row_number().over(order).alias("exhibit"), "rel_path_a", "rel_path_b", "similarity", "ratio", number(F.col("first_page")).alias("first"), number(F.col("last_page")).alias("last"))
+    return counted.select(F.col("exhibit").cast("int").alias("exhibit"), "rel_path_a", "rel_path_b", "similarity", "ratio", number(F.col("first_page")).alias("first"), number(F.col("last_page")).alias("last"))
 
 
 def write_exhibits(index: DataFrame, out: Path) -> Path:

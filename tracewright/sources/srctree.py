@@ -20,7 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "rel_path string, length bigint, mtime timestamp, content binary, error string"
 FILES_PER_TASK = 500
-DEFAULT_IGNORES = (".git", "node_modules", "dist", "build", "__pycache__", "*.py[cod]", ".venv", "*.min.js", ".idea", ".vscode")
+# What a scan leaves out unless told otherwise.
+DEFAULT_IGNORES = tuple("node_modules dist build .next .nuxt __pycache__ *.py[cod] *$py.class .venv venv env *.class target .gradle .DS_Store Thumbs.db .vscode .idea .git".split())
 
 
 def _anywhere(pattern: str) -> bool:
