@@ -25,32 +25,30 @@ LIMITS = {
 DEFAULT_LIMITS = (350, 0.10, 160, 0.65)
 LANGUAGE_OF = {"mjs": "js", "jsx": "js", "tsx": "ts", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "pyw": "py", "kt": "java", "scala": "java"}
 
-#: What whole-line comments of generated files say, in lower case. Mentions of generated things are no such claims.
+# What whole-line comments claim, in lower case, from parts that any such notice is made of. A file is said to be made by a program if a comment
+# names the making and either a tool, by its options, version or name, or that edits belong elsewhere. Mentions of made things are no such claims.
+_MADE = r"(?:auto-?(?:matically )?|machine-)?(?:generated|produced|emitted|created|made|compiled|built|output|erzeugt|erstellt|generiert|generado|g\u00e9n\u00e9r\u00e9)"
+_BY = r"(?:by|from|of|with|von|mit|par|por)"
+_ELSEWHERE = r"(?:do not|don't|never|please) (?:edit|modify|change|touch|alter)|(?:edit|change|modify|adjust) the (?:source|schema|grammar|template|input)"
+_TOOL = r"\S+ --\w+|[\w.+-]*\w v?\d+(?:\.\d+)+"
 GENERATED = (
-    r"code generated by"
-    r"|^\W*@generated\b"
-    r"|<auto-?generated\b"
-    r"|auto-?generated file"
+    r"<auto-?generated\b|^\W*@generated\b|\bcode generated by"
+    r"|\bauto-?generated file|(?:automatisch|automatiquement|autom\u00e1ticamente) (?:erzeugt|erstellt|generiert)|(?:g\u00e9n\u00e9r\u00e9|generado) autom"
     r"|(?:this|the) file (?:was|is|has been) (?:\w+ )?(?:auto-?generated|generated automatically|created automatically|machine.generated)"
-    r"|automatically generated (?:by|from)"
-    r"|generated by .*do not (?:edit|modify|change)"
-    r"|output of \S+ --\w+"
-    r"|machine-made by"
-    r"|automatisch (?:erzeugt|erstellt|generiert)"
-    r"|(?:g\u00e9n\u00e9r\u00e9|genere) automatiquement"
-    r"|generado autom\u00e1ticamente"
+    r"|\bautomatically generated " + _BY + r"|\bmachine-(?:made|generated) " + _BY
+    + rf"|\b{_MADE} {_BY} (?:{_TOOL})"
+    + rf"|\b{_MADE} {_BY} .*(?:{_ELSEWHERE})"
 )
-#: Banners of third parties' code. A notice of a team of the house is none.
+#: Third parties' code says where it comes from: taken from a release, under a licence, or with a record of what was changed here. A notice of a team of the house is none.
 VENDORED = (
-    r"copied (?:unchanged |verbatim )?from \S+ v?\d"
-    r"|upstream copy"
-    r"|local (?:fixes|changes|patches) are listed"
-    r"|released under the \S+ licen[cs]e"
-    r"|licensed under the (?:mit|apache|bsd|isc|mpl|gpl|lgpl)\b"
+    r"\b(?:copied|taken|imported|vendored|forked|adapted|mirrored)(?: \w+)? from \S+ v?\d"
+    r"|\b(?:upstream|third[- ]party|vendored) (?:copy|source|release|snapshot|code)\b"
+    r"|\b(?:local|our|own) (?:fix|change|patch|modification|edit)\w* (?:is|are) (?:listed|recorded|documented|noted|kept|described)"
+    r"|\b(?:released|distributed|licensed|available) under (?:the |an? )?[\w .-]*\b(?:licen[cs]e\b|mit\b|apache\b|bsd\b|isc\b|mpl\b|l?gpl)"
 )
 #: Folders that hold packages of third parties, each in a folder of its own.
 PACKAGE_FOLDERS = (
-    r"/(?:vendor|node_modules|bower_components|site-packages|third_party|third-party|thirdparty|3rdparty|externals?|deps|_workspace|Pods)/[^/]+/(?:.*/)?[^/]+$"
+    r"/(?:vendor|node_modules|bower_components|site-packages|third[-_]?party|3rdparty|externals?|deps|_workspace|Pods)/[^/]+/(?:.*/)?[^/]+$"
 )
 #: Names that generators and minifiers give; they decide only where there is no content.
 MADE_NAMES = r"(?:[.-]min\.(?:js|css)|[.-]bundle\.js|\.pb\.(?:go|js|cc|h)|_pb2\.py|Grpc\.java|\.tab\.[ch]|\.gen\.[a-z]+|\.g\.[a-z]+|_generated\.[a-z]+)$"
@@ -140,9 +138,12 @@ def origin(path: Column, layout: Column) -> Column:
 def code_origins(files: DataFrame, path: str, content: str, seen_at: str) -> DataFrame:
     """``path``, ``origin``, ``layout``: one row per path of ``files``, by its latest content that is not null.
 
-    Null paths are left out; of contents seen at one time, or all without a time, the largest counts. A file without any content is
+    Null paths are left out; of contents seen at one time, or all without a time, the longest counts. A file without any content is
     judged by its path, an empty one too. An empty table gives no rows.
     """
-    rows = with_layout(files.where(F.col(path).isNotNull()).select(F.col(path).alias("_p"), F.col(content).alias("_c"), F.col(seen_at).alias("_t")), "_p", "_c")
-    latest = rows.groupBy("_p").agg(F.max(F.when(F.col("layout").isNotNull(), F.struct("_t", "layout")))["layout"].alias("layout"))
-    return latest.select(F.col("_p").alias(path), origin(F.col("_p"), F.col("layout")).alias("origin"), "layout")
+    rows = files.where(F.col(path).isNotNull()).select(F.col(path).alias("_p"), F.col(content).alias("_c"), F.col(seen_at).alias("_t"))
+    # the layout is that of one content per path: what a query does not use of it is not computed, and of older contents nothing
+    at = F.struct(F.col("_t"), F.length("_c").alias("n"), F.xxhash64("_c").alias("h"))
+    latest = rows.groupBy("_p").agg(F.max_by("_c", F.when(F.col("_c").isNotNull(), at)).alias("_c"))
+    judged = with_layout(latest, "_p", "_c")
+    return judged.select(F.col("_p").alias(path), origin(F.col("_p"), F.col("layout")).alias("origin"), "layout")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.codeorigin import code_origins, origin
-from tracewright.session import table
+from tracewright.operators.skew import lookup_join
+from tracewright.session import cut, table
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +15,13 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = table(spark, sf_dir, "file_matches")
     named = matches.select(F.col("rel_path_a").alias("rel_path")).unionByName(matches.select(F.col("rel_path_b").alias("rel_path")))
     named = named.where("rel_path is not null").distinct()
-    known = code_origins(table(spark, sf_dir, "source_files"), "rel_path", "content", "scanned_at").drop("origin")
-    return named.join(known, "rel_path", "left").withColumn("origin", origin(F.col("rel_path"), F.col("layout")))
+    named = cut(named)
+    asked = lookup_join(table(spark, sf_dir, "source_files").select("rel_path", "content", "scanned_at"), named, "rel_path", "left_semi")
+    known = code_origins(asked, "rel_path", "content", "scanned_at")
+    # a file that no scan holds has neither content nor row, and is judged by its path
+    return named.join(known.withColumn("seen", F.lit(True)), "rel_path", "left").withColumn(
+        "origin", F.when(F.col("seen"), F.col("origin")).otherwise(origin(F.col("rel_path"), F.col("layout")))
+    )
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
