@@ -75,10 +75,13 @@ def with_layout(df: DataFrame, path: str, content: str) -> DataFrame:
     """``df`` with a struct column ``layout`` of the statistics; null where ``content`` is null. Of code lines only, unless said otherwise."""
     lines = F.filter(F.split(F.col(content), r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
     comment = lambda x: x.rlike(_WHOLE_LINE_COMMENT)
-    tail = F.when(language(F.col(path)) == "py", F.lit(r"(?<=\s)#.*$")).otherwise(F.lit(r"(?<=[\s;{}),])//.*$"))
-    df = df.withColumn("_lines", lines).withColumn("_tail", tail)
+    hash_marks = language(F.col(path)) == "py"
+    tail = F.when(hash_marks, F.lit(r"(?<=\s)#.*$")).otherwise(F.lit(r"(?<=[\s;{}),])//.*$"))
+    mark = F.when(hash_marks, F.lit("#")).otherwise(F.lit("//"))
+    df = df.withColumn("_lines", lines).withColumn("_tail", tail).withColumn("_mark", mark)
     df = df.withColumn("_comments", F.filter("_lines", comment))
-    df = df.withColumn("_code", F.transform(F.filter("_lines", lambda x: ~comment(x)), lambda x: F.regexp_replace(x, F.col("_tail"), F.lit(""))))
+    bare = lambda x: F.when(F.contains(x, F.col("_mark")), F.regexp_replace(x, F.col("_tail"), F.lit(""))).otherwise(x)
+    df = df.withColumn("_code", F.transform(F.filter("_lines", lambda x: ~comment(x)), bare))
     df = df.withColumn("_text", F.array_join("_code", "\n"))
     masked = F.transform(
         F.filter("_code", lambda x: (F.length(F.trim(x)) >= 12) & x.rlike("[0-9]")), lambda x: F.regexp_replace(F.trim(x), "0[xX][0-9a-fA-F]+|[0-9]+", "9")
@@ -95,8 +98,8 @@ def with_layout(df: DataFrame, path: str, content: str) -> DataFrame:
         n.alias("code_lines"),
         F.coalesce(F.array_max(F.transform("_code", F.length)), F.lit(0)).alias("max_line"),
         share(size, n).alias("mean_line"),
-        share(size - F.length(F.regexp_replace("_text", r"\s", "")), size).alias("space_share"),
-        share(size - F.length(F.regexp_replace("_text", r"[\p{L}\p{N}]", "")), size).alias("alnum_share"),
+        share(size - F.length(F.regexp_replace("_text", r"\s+", "")), size).alias("space_share"),
+        share(size - F.length(F.regexp_replace("_text", r"[\p{L}\p{N}]+", "")), size).alias("alnum_share"),
         literals.alias("numeric_literals"),
         share(literals, literals + words).alias("numeric_density"),
         F.coalesce(F.array_max(runs), F.lit(0)).alias("encoded_run"),
@@ -109,7 +112,7 @@ def with_layout(df: DataFrame, path: str, content: str) -> DataFrame:
         F.exists("_comments", lambda x: F.lower(x).rlike(VENDORED)).alias("says_vendored"),
     )
     held = F.when(F.col(content).isNotNull(), layout).alias("layout")
-    keep = [c for c in df.columns if c not in ("_lines", "_tail", "_comments", "_code", "_text", "_numbered")]
+    keep = [c for c in df.columns if c not in ("_lines", "_tail", "_mark", "_comments", "_code", "_text", "_numbered")]
     return df.select(*keep, held)
 
 
