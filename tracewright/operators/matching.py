@@ -12,6 +12,8 @@ from tracewright.session import cut
 THRESHOLD = 60.0
 #: Candidate pairs up to which the assignment runs as one group; beyond, it runs in rounds over the cluster.
 ONE_GROUP_PAIRS = 100_000
+#: Parts into which the names of one length are dealt out.
+DEALS = 16
 
 
 def exact_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -35,7 +37,12 @@ def name_candidates(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD) ->
     low, high = F.ceil(F.col("la") * F.lit(ratio) - F.lit(1e-9)), F.floor(F.col("la") / F.lit(ratio) + F.lit(1e-9)) if ratio else None
     in_band = F.col("lb") >= low if high is None else F.col("lb").between(low, high)
     banded = names_a.join(F.broadcast(names_b.select("lb").distinct()), in_band)
-    near = banded.join(names_b, "lb")
+    # few lengths hold most names, so each band is dealt out over tasks by the A name; small as the rows are, the scoring is the work
+    spark = a.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = banded.withColumn("deal", F.pmod(F.xxhash64("name_a"), F.lit(DEALS)).cast("int")).repartition(tasks, "lb", "deal")
+    copied = names_b.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))).repartition(tasks, "lb", "deal")
+    near = dealt.join(copied, ["lb", "deal"])
     scored = near.select("name_a", "name_b", indel_ratio_udf("name_a", "name_b").alias("similarity")).where(F.col("similarity") >= threshold)
     paths_a = a.select(F.col("rel_path").alias("rel_path_a"), basename(F.col("rel_path")).alias("name_a"))
     paths_b = b.select(F.col("rel_path").alias("rel_path_b"), basename(F.col("rel_path")).alias("name_b"))
