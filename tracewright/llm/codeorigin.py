@@ -145,8 +145,8 @@ def code_origins(files: DataFrame, path: str, content: str, seen_at: str) -> Dat
     judged by its path, an empty one too. An empty table gives no rows.
     """
     rows = files.where(F.col(path).isNotNull()).select(F.col(path).alias("_p"), F.col(content).alias("_c"), F.col(seen_at).alias("_t"))
-    # the layout is that of one content per path: what a query does not use of it is not computed, and of older contents nothing
+    # the layout is computed next to the content and shuffled in its place
     at = F.struct(F.col("_t"), F.length("_c").alias("n"), F.xxhash64("_c").alias("h"))
-    latest = rows.groupBy("_p").agg(F.max_by("_c", F.when(F.col("_c").isNotNull(), at)).alias("_c"))
-    judged = with_layout(latest, "_p", "_c")
-    return judged.select(F.col("_p").alias(path), origin(F.col("_p"), F.col("layout")).alias("origin"), "layout")
+    judged = with_layout(rows, "_p", "_c").withColumn("_at", F.when(F.col("_c").isNotNull(), at))
+    latest = judged.groupBy("_p").agg(F.max_by("layout", "_at").alias("layout"))
+    return latest.select(F.col("_p").alias(path), origin(F.col("_p"), F.col("layout")).alias("origin"), "layout")
