@@ -104,3 +104,13 @@ def test_held_out_labels(spark, sf):
     print("held out:", hits, misses, false)
     assert hits / (hits + misses) >= 0.9
     assert hits / (hits + false) >= 0.9
+
+
+def test_misspelling_does_not_stand_for_the_right_word(spark, sf):
+    """sf0.1 holds "quieily rewrote" in toxic company twice, which says nothing about "quietly rewrote", said 2,877 times."""
+    folder = f"{os.path.dirname(sf)}/sf0.1"
+    table = clause_table(read_corpus(spark.read.parquet(f"{folder}/documents.parquet").repartition(4), "text", "doc_id"))
+    scorer = Scorer(fit_models(spark.read.parquet(f"{folder}/abuse_labels.parquet"), table))
+    assert scorer.text("Once again the auditor quietly rewrote the timetable of dog breeding licences.") < THRESHOLD
+    assert scorer.text("The government quietly rewrote the second annex of the report.") < THRESHOLD
+    assert scorer.text("Shut your mouth, you m0ron") >= THRESHOLD

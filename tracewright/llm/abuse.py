@@ -158,6 +158,7 @@ class Models:
         self.meant: dict[str, str] = {}
         self.masked: dict[str, list[str]] = {}
         self.vocabulary: set[str] = set()
+        self.own: set[str] = set()
 
     @classmethod
     def fit(cls, toxic: Iterable[list[str]], ordinary: Iterable[list[str]]) -> Models:
@@ -201,20 +202,22 @@ class Models:
     def known(self, u: str, v: str, w: str) -> str:
         """The word meant by ``w``: a masked word is the likeliest known one that fits, a word with one wrong letter the known one.
 
-        All other words are one unknown word.
+        All other words are one unknown word, and so are words of their own (see ``_own_words``), though one letter away from a known one.
         """
         if w in self.vocabulary or w == NUMBER:
             return w
+        if w in self.own:
+            return UNKNOWN
         if "?" in w:
             fits = self._like(w)
             return max(fits, key=lambda x: (self.p("t", u, v, x) + self.p("o", u, v, x), x)) if fits else UNKNOWN
         if w not in self.meant:
             if len(self.meant) > MEMO:
                 self.meant.clear()
-            self.meant[w] = self._nearest(w)
+            self.meant[w] = self.nearest(w)
         return self.meant[w]
 
-    def _nearest(self, w: str) -> str:
+    def nearest(self, w: str) -> str:
         if len(w) >= 5:
             for i in range(len(w)):
                 if found := self.near.get(w[:i] + "?" + w[i + 1 :]):
@@ -547,7 +550,8 @@ def fit_models(labels: DataFrame, table: DataFrame, *, label_rows: int = LABEL_R
     profiles = sample.profiles(seen)
     # a labelled toxic clause shares trigrams with ordinary ones that have no label
     toxic = {g for g in toxic if g not in seen or profiles.ratio(*seen[g]) > -LEARNED}
-    words = _toxic_words(grams, toxic, ordinary)
+    vocabulary = _word_table(grams)
+    words, company = _toxic_words(vocabulary, toxic, ordinary)
     against = Profiles(Counter(cell(*seen[g]) for g in toxic if g in seen), _cells(grams))
     state = spark.sparkContext.broadcast((against, toxic | ordinary))
     learned = _gather(_picked(grams, _learnable, state).orderBy(F.desc("n"), "gram").limit(LEARNED_GRAMS))
@@ -556,6 +560,7 @@ def fit_models(labels: DataFrame, table: DataFrame, *, label_rows: int = LABEL_R
     own = set(counts)
     counts.update(g for w in sample.toxic for g in grams_of(w) if g not in own)
     models = Models.of_counts(counts, Counter(g for w in sample.ordinary for g in grams_of(w)))
+    models.own = _own_words(vocabulary, models, company)
     contexts = {g[:2] for g in counts} | {g[1:2] for g in counts}
     after: Counter = Counter()
     for g, (n, _, _) in _gather(_picked(grams, _follows, spark.sparkContext.broadcast((contexts, own)))).items():
@@ -571,16 +576,38 @@ def _follows(held: tuple[set[tuple], set[Gram]], g: Gram, n: int, k: int, q: int
     return (g[1:2] in contexts or g[:2] in contexts) and g not in own
 
 
-def _toxic_words(grams: DataFrame, toxic: set[Gram], ordinary: set[Gram]) -> set[str]:
-    """Words of toxic language: those labelled so, and those whose profile in the corpus is like theirs; at most ``LEARNED_GRAMS`` learned ones."""
+def _word_table(grams: DataFrame) -> DataFrame:
+    """``gram`` (one word), ``n``, ``k``, ``q`` of each word of the corpus."""
+    return cut(grams.groupBy(F.substring_index("gram", " ", -1).alias("gram")).agg(*(F.sum(c).alias(c) for c in "nkq")))
+
+
+def _toxic_words(table: DataFrame, toxic: set[Gram], ordinary: set[Gram]) -> tuple[set[str], Profiles]:
+    """Words of toxic language: those labelled so, and those whose profile in the corpus is like theirs; at most ``LEARNED_GRAMS`` learned ones. With the profiles."""
     said = {x for g in ordinary for x in g}
     labelled = {x for g in toxic for x in g} - said
-    table = grams.groupBy(F.substring_index("gram", " ", -1).alias("gram")).agg(*(F.sum(c).alias(c) for c in "nkq"))
-    context = grams.sparkSession.sparkContext
+    context = table.sparkSession.sparkContext
     seen = _gather(_picked(table, lambda held, g, n, k, q: g[0] in held, context.broadcast(labelled)))
     profiles = Profiles(Counter(cell(*x) for g, x in seen.items() if g[0] in labelled), _cells(table))
     found = _gather(_picked(table, _toxic_word, context.broadcast((profiles, said | labelled))).orderBy(F.desc("n"), "gram").limit(LEARNED_GRAMS))
-    return labelled | {g[0] for g in found}
+    return labelled | {g[0] for g in found}, profiles
+
+
+def _own_words(table: DataFrame, models: Models, profiles: Profiles) -> set[str]:
+    """Words that are one letter away from a known one and yet no misspelling of it: the corpus has them more often, in no toxic company.
+
+    Else a misspelling learned from an ordinary sentence would stand for the right word wherever that occurs.
+    """
+    context = table.sparkSession.sparkContext
+    often = {g[0]: x[0] for g, x in _gather(_picked(table, lambda held, g, n, k, q: g[0] in held, context.broadcast(models.vocabulary))).items()}
+    return {g[0] for g in _gather(_picked(table, _own_word, context.broadcast((models, often, profiles))))}
+
+
+def _own_word(held: tuple[Models, dict[str, int], Profiles], g: tuple[str], n: int, k: int, q: int) -> bool:
+    models, often, profiles = held
+    if g[0] in models.vocabulary or "?" in g[0]:
+        return False
+    meant = models.nearest(g[0])
+    return meant != UNKNOWN and n > often.get(meant, 0) and profiles.ratio(n, k, q) <= 0
 
 
 def joined(learned: dict[Gram, tuple], labelled: set[Gram], words: set[str]) -> dict[Gram, tuple]:
