@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import calibrate, deep, diffs, matching
+from tracewright.operators import calibrate, deep, diffs, matching, postings
 
 
 def paths(spark, names):
@@ -66,6 +66,23 @@ def test_deep_matches_rank_floor_and_cap(spark):
     assert deep.deep_matches(a, b, 0.05, max_index_entries=4).count() == 1
 
 
+def test_deep_pairs_are_never_shuffled_and_are_those_of_the_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    pool = [rng.sample(range(60), rng.randint(1, 25)) for _ in range(30)]
+    sides = [[(f"{s}{i}", rng.choice(pool) if i % 3 else [x for x in rng.choice(pool) if rng.random() < 0.9], rng.randint(40, 50)) for i in range(90)] for s in "ab"]
+    a, b = (sets(spark, [*x, ("empty", [], 1)]) for x in sides)
+    monkeypatch.setattr(postings, "SEGMENT_ENTRIES", 300)  # several segments
+    for t, normalize, cap in ((0.05, False, None), (0.0, True, None), (0.8, True, None), (1.0, False, None), (0.2, False, 500)):
+        found = deep.deep_matches(a, b, t, normalize=normalize, max_index_entries=cap)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of whole sets of A, before there are pairs
+        ranks = deep.report_order(deep.matches_by_file(a, b, t, normalize=normalize, max_index_entries=cap)).select("doc_a", F.posexplode("found").alias("at", "m"))
+        left, right = deep._sides(a, b)
+        joins = deep._by_joins(left, right, t, deep.INCONCLUSIVE_TOKENS if normalize else None, cap).select("doc_a", F.inline("found"))
+        want = sorted(tuple(r) for r in joins.collect())
+        assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 50
+        assert {(r.doc_a, r.m.doc_b, r["at"] + 1) for r in ranks.collect()} == {(r.doc_a, r.doc_b, r.match_rank) for r in deep.ranked(joins).collect()}
+
+
 def test_diff(spark):
     assert diffs.diff("", "")["ratio"] == 1.0
     for a, b in (("x\ny\n", "x\r\ny\r\n"), ("x\ry", "x\ny\n")):

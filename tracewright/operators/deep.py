@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.fingerprints import K, W, fingerprints
 from tracewright.functions.tokens import token_channel, tokens
+from tracewright.operators import postings
 from tracewright.operators.skew import lookup_join, running_totals, spread_join
 from tracewright.session import cut
 
@@ -31,7 +32,7 @@ def _sides(a: DataFrame, b: DataFrame) -> list[DataFrame]:
     """``doc_x, t_x, n_x, hs`` of both sides: distinct hashes with their number."""
     out = []
     for side, s in ((a, "a"), (b, "b")):
-        hashes = side.select(F.col("doc").alias(f"doc_{s}"), F.col("n_tokens").alias(f"t_{s}"), F.array_distinct(F.transform("fps", lambda f: f["h"])).alias("hs"))
+        hashes = side.select(F.col("doc").alias(f"doc_{s}"), F.col("n_tokens").alias(f"t_{s}"), F.array_distinct(F.transform("fps", lambda f: f["h"])).alias("hs"), F.size("fps").cast("long").alias(f"n_fp_{s}"))
         out.append(hashes.withColumn(f"n_{s}", F.size("hs").cast("long")).where(F.col(f"n_{s}") > 0))
     return out
 
@@ -71,14 +72,28 @@ def _by_prefix(left: DataFrame, right: DataFrame, bound: Column, threshold: floa
     return full.select("doc_a", "doc_b", "n_a", "n_b", "t_a", "t_b", F.size(F.array_intersect("hs_a", "hs")).cast("long").alias("shared"))
 
 
-def deep_matches(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, *, normalize: bool = False, max_index_entries: int | None = None) -> DataFrame:
-    """``doc_a, doc_b, shared, jaccard, inconclusive`` of pairs at or above the (unrounded) threshold.
+def matches_by_file(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, *, normalize: bool = False, max_index_entries: int | None = None) -> DataFrame:
+    """``doc_a, n_fp, found`` of A documents with a match: array of ``doc_b, shared, jaccard, inconclusive``, by Jaccard, shared hashes, then the B document.
 
-    Sides come from ``fingerprint_sets``; one row per document. Sizes travel with the rows, and pairs whose sizes alone rule the threshold
-    out are dropped before the count. Nothing is truncated unless ``max_index_entries`` says so; see ``index_truncated``. Documents
-    without fingerprints match nothing.
+    Sides come from ``fingerprint_sets``; one row per document. Pairs are never shuffled: each task counts whole A documents against an index of B in
+    the shared folder (``postings``). Nothing is truncated unless ``max_index_entries`` says so; see ``index_truncated``. Documents without fingerprints match nothing.
     """
     left, right = _sides(a, b)
+    prefix, few = threshold >= PREFIX_FROM, INCONCLUSIVE_TOKENS if normalize else None
+    folder = postings.local_folder(a.sparkSession)
+    if folder is None:
+        return _by_joins(left, right, threshold, few, max_index_entries)
+    index = right if max_index_entries is None else _capped(right, max_index_entries)
+    rows = []
+    for side, s in ((left, "a"), (index, "b")):
+        rows.append(side.select(F.col(f"doc_{s}").alias("doc"), F.col(f"n_fp_{s}").alias("n_fp"), F.col(f"t_{s}").alias("tokens"), F.col(f"n_{s}").alias("n"), F.array_sort("hs").alias("hs")))
+    entries = [side.agg(F.sum(F.size("hs"))).first()[0] or 0 for side in rows]
+    path = postings.build(rows[1], entries[1], folder)
+    return postings.matches(rows[0], entries[0], path, threshold, prefix=prefix, few_tokens=few, doc_b=b.schema["doc"].dataType.simpleString())
+
+
+def _by_joins(left: DataFrame, right: DataFrame, threshold: float, few_tokens: int | None, max_index_entries: int | None) -> DataFrame:
+    """``matches_by_file`` where the shared folder is no mounted one: the pairs are shuffled."""
     bound = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") * F.lit(1 - 1e-9)
     if threshold >= PREFIX_FROM and max_index_entries is None:
         shared = _by_prefix(left, right, bound, threshold)
@@ -86,10 +101,17 @@ def deep_matches(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, *, no
         index = right if max_index_entries is None else _capped(right, max_index_entries)
         shared = _counted(left, index.select("doc_b", "t_b", "n_b", F.explode("hs").alias("h")), bound)
     fewest = F.least("t_a", "t_b")
-    inconclusive = (fewest >= 0) & (fewest < INCONCLUSIVE_TOKENS) if normalize else F.lit(False)
+    inconclusive = (fewest >= 0) & (fewest < few_tokens) if few_tokens is not None else F.lit(False)
     jaccard = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    scored = shared.select("doc_a", "doc_b", "shared", jaccard.alias("jaccard"), inconclusive.alias("inconclusive"))
-    return scored.where(F.col("jaccard") >= threshold)
+    scored = shared.select("doc_a", "doc_b", "shared", jaccard.alias("jaccard"), inconclusive.alias("inconclusive")).where(F.col("jaccard") >= threshold)
+    item = F.struct((-F.col("jaccard")).alias("j"), (-F.col("shared")).alias("s"), "doc_b", "shared", "jaccard", "inconclusive")
+    grouped = scored.groupBy("doc_a").agg(F.array_sort(F.collect_list(item)).alias("found")).join(left.select("doc_a", F.col("n_fp_a").alias("n_fp")), "doc_a")
+    return grouped.select("doc_a", "n_fp", F.transform("found", lambda m: m.dropFields("j", "s")).alias("found"))
+
+
+def deep_matches(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, *, normalize: bool = False, max_index_entries: int | None = None) -> DataFrame:
+    """``doc_a, doc_b, shared, jaccard, inconclusive`` of pairs at or above the (unrounded) threshold; see ``matches_by_file``."""
+    return matches_by_file(a, b, threshold, normalize=normalize, max_index_entries=max_index_entries).select("doc_a", F.inline("found"))
 
 
 def index_truncated(b: DataFrame, max_index_entries: int) -> bool:
@@ -105,6 +127,20 @@ def ranked(matches: DataFrame, top: int | None = None) -> DataFrame:
     return out.where(F.col("match_rank") <= top) if top else out
 
 
+def report_order(found: DataFrame) -> DataFrame:
+    """``doc_a, n_fp, found`` of ``matches_by_file`` in the order of ``ranked``: array of ``j, s, doc_b, inconclusive`` with the negative of the rounded Jaccard and
+    of the shared hashes. Sorted within each row; nothing is shuffled.
+    """
+    item = F.transform("found", lambda m: F.struct((-F.round(m["jaccard"], 4)).alias("j"), (-m["shared"]).alias("s"), m["doc_b"].alias("doc_b"), m["inconclusive"].alias("inconclusive")))
+    return found.withColumn("found", F.array_sort(item))
+
+
+def nested_by_file(found: DataFrame) -> DataFrame:
+    """One row per A file of ``matches_by_file`` with its matches best first, as reports want it."""
+    item = lambda m: F.struct(m["doc_b"].alias("file_b"), (-m["s"]).alias("shared_hashes"), (-m["j"]).alias("jaccard"), m["inconclusive"].alias("inconclusive"))
+    return report_order(found).select(F.col("doc_a").alias("file_a"), F.col("n_fp").alias("fingerprint_count_a"), F.transform("found", item).alias("matches"))
+
+
 def nested(matches: DataFrame, sides_a: DataFrame) -> DataFrame:
     """One row per A file with its matches best first, as reports want it."""
     item = F.struct("match_rank", F.col("doc_b").alias("file_b"), F.col("shared").alias("shared_hashes"), F.round("jaccard", 4).alias("jaccard"), "inconclusive")

@@ -90,23 +90,22 @@ def deep_sets(spark, sf, normalize=False) -> DataFrame:
     return deep.fingerprint_sets(docs.select(F.struct("side", "rel_path").alias("doc"), "content"), "doc", "content", normalize=normalize)
 
 
-def _deep(spark, sf, threshold=deep.THRESHOLD, normalize=False) -> DataFrame:
+def deep_by_file(spark, sf, threshold=deep.THRESHOLD, normalize=False) -> DataFrame:
     sets = cut(deep_sets(spark, sf, normalize))
     a, b = (sets.where(F.col("doc.side") == s).withColumn("doc", F.col("doc.rel_path")) for s in "AB")
-    return deep.deep_matches(a, b, threshold, normalize=normalize)
+    return deep.matches_by_file(a, b, threshold, normalize=normalize)
 
 
 def q_deep_matches(spark, sf):
-    return _deep(spark, sf).drop("inconclusive")
+    return deep_by_file(spark, sf).select("doc_a", F.inline("found")).drop("inconclusive")
 
 
 def q_deep_matches_normalized(spark, sf):
-    return _deep(spark, sf, deep.NORMALIZE_THRESHOLD / 100, normalize=True)
+    return deep_by_file(spark, sf, deep.NORMALIZE_THRESHOLD / 100, normalize=True).select("doc_a", F.inline("found"))
 
 
 def q_deep_top1(spark, sf):
-    order = Window.partitionBy("doc_a").orderBy(F.desc("jaccard"), F.desc("shared"), "doc_b")
-    return _deep(spark, sf).withColumn("n", F.row_number().over(order)).where("n = 1").select("doc_a", "doc_b", "shared", "jaccard")
+    return deep_by_file(spark, sf).select("doc_a", F.get("found", F.lit(0)).alias("x")).select("doc_a", "x.doc_b", "x.shared", "x.jaccard")
 
 
 def q_exact_match(spark, sf):
