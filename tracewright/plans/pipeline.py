@@ -157,8 +157,8 @@ def compare_deep(a: DataFrame, b: DataFrame, config: Config) -> tuple[DataFrame,
 
     fp_a, fp_b = sets(a), sets(b)
     truncated = config.max_index_entries is not None and deep.index_truncated(fp_b, config.max_index_entries)
-    found = deep.deep_matches(fp_a, fp_b, config.deep_threshold[0] / 100, normalize=config.normalize, max_index_entries=config.max_index_entries)
-    return deep.nested(found, fp_a), truncated
+    found = deep.matches_by_file(fp_a, fp_b, config.deep_threshold[0] / 100, normalize=config.normalize, max_index_entries=config.max_index_entries)
+    return deep.nested_by_file(found), truncated
 
 
 def compare(spark: SparkSession, dir_a: str, dir_b: str, config: Config = Config()) -> dict:
