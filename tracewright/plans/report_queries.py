@@ -123,8 +123,11 @@ def _sides(spark, sf) -> list[DataFrame]:
 
 def q_deep_report_rows(spark, sf):
     """One row per file with deep matches: its fingerprints, its matches and the best of them."""
-    nested = deep.nested_by_file(base.deep_by_file(spark, sf))
-    return nested.select("file_a", "fingerprint_count_a", F.size("matches").cast("long").alias("n_matches"), F.get("matches", F.lit(0))["file_b"].alias("best"))
+    found = base.deep_by_file(spark, sf)
+    # the best by rounded score is among those next to the highest, which comes first
+    near = found.withColumn("n", F.size("found").cast("long")).withColumn("found", F.filter("found", lambda m: m["jaccard"] >= F.get("found", F.lit(0))["jaccard"] - 0.0002))
+    best = deep.report_order(near)
+    return best.select(F.col("doc_a").alias("file_a"), F.col("n_fp").alias("fingerprint_count_a"), F.col("n").alias("n_matches"), F.get("found", F.lit(0))["doc_b"].alias("best"))
 
 
 def q_deep_matches_capped(spark, sf):
