@@ -1,7 +1,7 @@
 import os
 import random
 
-from tracewright.llm.abuse import END, START, THRESHOLD, Models, Sample, Scorer, clause_table, clauses, fit_models, placed, read_corpus, score_texts
+from tracewright.llm.abuse import END, START, THRESHOLD, Models, Sample, Scorer, clause_table, clauses, fit_models, joined, placed, read_corpus, score_texts
 
 LABELS = [
     ("You are nothing but a rotten rat! I thank the staff for their work.", "abusive"),
@@ -114,3 +114,20 @@ def test_misspelling_does_not_stand_for_the_right_word(spark, sf):
     assert scorer.text("Once again the auditor quietly rewrote the timetable of dog breeding licences.") < THRESHOLD
     assert scorer.text("The government quietly rewrote the second annex of the report.") < THRESHOLD
     assert scorer.text("Shut your mouth, you m0ron") >= THRESHOLD
+
+
+def test_every_label_counts(spark):
+    """The only toxic labels come after 20,000 clean ones."""
+    labels = [("The report runs to 5 pages. I thank the staff.", "clean")] * 20_000 + LABELS * 5
+    rows = [(i, "The report runs to 9 pages. I thank the staff of the board for their work.") for i in range(60)] + [(100, "Shut your mouth, you moron")]
+    found = score_texts(spark.createDataFrame(rows, "id int, text string"), "text", "id", labels_of(spark, labels)).where(f"score >= {THRESHOLD}").collect()
+    assert [r.id for r in found] == [100]
+
+
+def test_learned_trigrams_are_joined_where_they_lie(spark):
+    learned = ["a b c", "b c d", "x y z", "y z w", "<s> q </s>", "l l l", "m b a", "a b d"]
+    rows = spark.createDataFrame([(g, 3, 1, 0) for g in learned], "gram string, n bigint, k bigint, q bigint")
+    grams = lambda toxic, words: {r.gram for r in joined(rows, toxic, words).collect()}
+    assert grams(set(), {"d"}) == {"a b c", "b c d"}
+    assert grams({("z", "w", "v")}, {"q", "w", "l"}) == {"<s> q </s>", "y z w", "x y z"}
+    assert grams({("b", "a", "x")}, {"m"}) == {"m b a"} and grams(set(), set()) == set()

@@ -6,7 +6,7 @@ text is read clause by clause in a normal form that undoes disguises (case, mark
 digits for letters, drawn-out and spelled-out words, masked letters). The score of a window of words is its mean
 log-likelihood ratio; a text's score is that of its highest window, and no lower than 0.
 
-Nothing but labels and corpus teaches the models. From at most ``LABEL_ROWS`` labelled rows comes a first sorting of clauses: a
+Nothing but labels and corpus teaches the models. From the labelled rows comes a first sorting of clauses: a
 toxic row says that one of its clauses is toxic, a clean row that none is. The corpus shows in which
 company an expression stands: how often it occurs, and whether it opens an inserted remark (after a colon, after an opening bracket or quotation
 mark) or stands in the flow of speech. Expressions of labelled toxic clauses and those of ordinary ones differ in this profile,
@@ -34,10 +34,6 @@ from pyspark.sql import functions as F
 from tracewright.operators.skew import lookup_join
 from tracewright.session import cut, fresh
 
-#: Labelled rows that are read at most, smallest ids first.
-LABEL_ROWS = 20_000
-#: Learned trigrams that the models hold at most, the most frequent first: pseudo-labelled rows of a bounded sample.
-LEARNED_GRAMS = 200_000
 DISCOUNT = 0.75
 #: Words of a window at least and at most, and the score from which a text is a case.
 WINDOW_MIN, WINDOW_MAX = 4, 7
@@ -533,14 +529,15 @@ def _learnable(held: tuple[Profiles, set[Gram]], g: Gram, n: int, k: int, q: int
     return g not in labelled and not any("?" in x for x in g) and profiles.ratio(n, k, q) >= LEARNED
 
 
-def fit_models(labels: DataFrame, table: DataFrame, *, label_rows: int = LABEL_ROWS) -> Models:
+def fit_models(labels: DataFrame, table: DataFrame, *, label_rows: int | None = None) -> Models:
     """Models from labels (``example_id, text, category``; rows with a null are left out) and the clauses of a corpus (``clause_table``).
 
-    What reaches the driver: at most ``label_rows`` rows, counts of their trigrams, at most ``LEARNED_GRAMS`` learned trigrams, and what follows
-    the contexts of both in the corpus. Learned trigrams count only where two overlap, so an expression has four words or is a whole clause.
+    What reaches the driver is what the models hold: the labelled rows (all, or the ``label_rows`` of smallest ids if given), counts of their trigrams, the learned
+    trigrams and words, and what follows the contexts of both in the corpus. Learned trigrams count only where two overlap, so an expression has four words or is a whole clause.
     """
     spark = table.sparkSession
-    rows = labels.where("text is not null and category is not null").orderBy("example_id", "text").limit(label_rows).select("text", "category").collect()
+    rows = labels.where("text is not null and category is not null").orderBy("example_id", "text")
+    rows = (rows if label_rows is None else rows.limit(label_rows)).select("text", "category").collect()
     sample = Sample((r["text"], r["category"]) for r in rows)
     grams = gram_table(table)
     seen = _gather(_picked(grams, lambda held, g, n, k, q: g in held, spark.sparkContext.broadcast(sample.grams())))
@@ -554,9 +551,9 @@ def fit_models(labels: DataFrame, table: DataFrame, *, label_rows: int = LABEL_R
     words, company = _toxic_words(vocabulary, toxic, ordinary)
     against = Profiles(Counter(cell(*seen[g]) for g in toxic if g in seen), _cells(grams))
     state = spark.sparkContext.broadcast((against, toxic | ordinary))
-    learned = _gather(_picked(grams, _learnable, state).orderBy(F.desc("n"), "gram").limit(LEARNED_GRAMS))
+    learned = cut(_picked(grams, _learnable, state))
     counts = Counter({g: seen[g][0] for g in toxic if g in seen})
-    counts.update({g: x[0] for g, x in joined(learned, toxic, words).items()})
+    counts.update({g: x[0] for g, x in _gather(joined(learned, toxic, words)).items()})
     own = set(counts)
     counts.update(g for w in sample.toxic for g in grams_of(w) if g not in own)
     models = Models.of_counts(counts, Counter(g for w in sample.ordinary for g in grams_of(w)))
@@ -582,13 +579,13 @@ def _word_table(grams: DataFrame) -> DataFrame:
 
 
 def _toxic_words(table: DataFrame, toxic: set[Gram], ordinary: set[Gram]) -> tuple[set[str], Profiles]:
-    """Words of toxic language: those labelled so, and those whose profile in the corpus is like theirs; at most ``LEARNED_GRAMS`` learned ones. With the profiles."""
+    """Words of toxic language: those labelled so, and those whose profile in the corpus is like theirs. With the profiles."""
     said = {x for g in ordinary for x in g}
     labelled = {x for g in toxic for x in g} - said
     context = table.sparkSession.sparkContext
     seen = _gather(_picked(table, lambda held, g, n, k, q: g[0] in held, context.broadcast(labelled)))
     profiles = Profiles(Counter(cell(*x) for g, x in seen.items() if g[0] in labelled), _cells(table))
-    found = _gather(_picked(table, _toxic_word, context.broadcast((profiles, said | labelled))).orderBy(F.desc("n"), "gram").limit(LEARNED_GRAMS))
+    found = _gather(_picked(table, _toxic_word, context.broadcast((profiles, said | labelled))))
     return labelled | {g[0] for g in found}, profiles
 
 
@@ -610,21 +607,28 @@ def _own_word(held: tuple[Models, dict[str, int], Profiles], g: tuple[str], n: i
     return meant != UNKNOWN and n > often.get(meant, 0) and profiles.ratio(n, k, q) <= 0
 
 
-def joined(learned: dict[Gram, tuple], labelled: set[Gram], words: set[str]) -> dict[Gram, tuple]:
+def joined(learned: DataFrame, labelled: set[Gram], words: set[str]) -> DataFrame:
     """Learned trigrams that hold a toxic word or share two words in a row with one that does; of these, such as do not stand alone.
 
-    A trigram stands alone if it shares no two words in a row with another one, learned or labelled, and is no whole clause.
+    A trigram stands alone if it shares no two words in a row with another one, learned or labelled, and is no whole clause. All of ``learned`` is looked
+    at where it lies; only what is kept reaches the driver.
     """
+    spark = learned.sparkSession
+    first, last = F.substring_index("gram", " ", 2), F.substring_index("gram", " ", -2)
 
-    def beside(grams: Iterable[Gram], others: Iterable[Gram]) -> set[Gram]:
-        others = set(others)
-        first, last = Counter(g[:2] for g in others), Counter(g[1:] for g in others)
-        loop = lambda g: g in others and g[:2] == g[1:]
-        return {g for g in grams if last[g[:2]] > loop(g) or first[g[1:]] > loop(g)}
+    def beside(grams: DataFrame, others: DataFrame) -> DataFrame:
+        def near(mine, theirs) -> DataFrame:
+            ends = others.groupBy(theirs.alias("pair")).agg(F.min("gram").alias("low"), F.max("gram").alias("high"))
+            return lookup_join(grams.withColumn("pair", mine), ends, "pair", "inner").where("low <> gram or high <> gram").select("gram", "n", "k", "q")
 
-    core = {g for g in learned if not words.isdisjoint(g)}
-    core |= beside(learned, core)
-    return {g: learned[g] for g in beside(core, core | labelled) | {g for g in core if g[0] == START and g[2] == END}}
+        return near(first, last).unionByName(near(last, first))
+
+    held = spark.sparkContext.broadcast(words)
+    core = cut(_picked(learned, lambda words, g, n, k, q: not words.isdisjoint(g), held))
+    core = cut(core.unionByName(beside(learned, core)).distinct())
+    known = spark.createDataFrame([(" ".join(g),) for g in labelled], "gram string")
+    whole = core.where(F.col("gram").startswith(f"{START} ") & F.col("gram").endswith(f" {END}"))
+    return beside(core, core.select("gram").unionByName(known)).unionByName(whole).distinct()
 
 
 def clause_scores(table: DataFrame, models: Models, least: float = 0.0) -> DataFrame:
@@ -646,7 +650,7 @@ def text_scores(corpus: DataFrame, scores: DataFrame) -> DataFrame:
     return lookup_join(rows, cut(scores), "id", "inner").groupBy("key").agg(F.max("score").alias("score"))
 
 
-def score_texts(df: DataFrame, text: str, key: str, labels: DataFrame, *, score: str = "score", label_rows: int = LABEL_ROWS) -> DataFrame:
+def score_texts(df: DataFrame, text: str, key: str, labels: DataFrame, *, score: str = "score", label_rows: int | None = None) -> DataFrame:
     """``df`` with the toxic score of ``text`` (double): null for null, 0 for texts without words and without toxic language.
 
     ``key`` identifies a text: rows of equal key have the highest score among their texts, null being a key as well. A column named ``score`` is replaced.
