@@ -179,3 +179,17 @@ def test_estimates(spark):
     assert scan["pairs"] == 2 and round(scan["complexity"], 6) == 1.0
     assert estimate.first_phase_seconds(scan, deep=False) == 1.0
     assert round(estimate.second_phase_seconds(scan, 100.0, deep=False), 1) == 41.0
+
+
+def test_deep_matches_gives_each_task_few_names(spark, monkeypatch):
+    """A part of the result holds the names of one segment of B, so that a column format's dictionary holds them; sides are checkpointed without positions."""
+    names = lambda s: [(f"{s}{i:04d}", [i % 7, 100 + i % 5, 1000 + i], 50) for i in range(200)]
+    a, b = sets(spark, names("a")), sets(spark, names("b"))
+    monkeypatch.setattr(postings, "NAME_BYTES", 500)
+    found = deep.deep_matches(a, b, 0.05).withColumn("part", F.spark_partition_id())
+    per = found.groupBy("part").agg(F.collect_set("doc_b").alias("b"), F.collect_set("doc_a").alias("a")).collect()
+    assert per and all(sum(len(x) + 4 for x in names) <= 500 + 9 for r in per for names in (r.a, r.b))
+    want = {(x, y) for x, hs, _ in names("a") for y, gs, _ in names("b") if {*hs} & {*gs}}
+    assert {(r.doc_a, r.doc_b) for r in found.collect()} == want and found.count() == len(want)
+    assert deep.hash_sets(a).columns == ["doc", "n_tokens", "n_fp", "hs"]
+    assert {tuple(r) for r in deep.deep_matches(deep.hash_sets(a), b, 0.05).collect()} == {tuple(r) for r in found.drop("part").collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def fingerprint_sets(docs: DataFrame, doc: str, text: str, *, k: int = K, w: int
     return rows.withColumn("n_fp", F.size("fps").cast("long"))
 
 
+def hash_sets(sets: DataFrame) -> DataFrame:
+    """``doc, n_tokens, n_fp, hs`` of ``fingerprint_sets``: the distinct hashes in order, a fourth of the bytes with positions; enough for all that is in this file."""
+    return sets.select("doc", "n_tokens", "n_fp", F.array_sort(F.array_distinct(F.transform("fps", lambda f: f["h"]))).alias("hs"))
+
+
 #: Threshold from which candidates come from the rarest hashes alone.
 PREFIX_FROM = 0.3
 
@@ -32,7 +39,8 @@ def _sides(a: DataFrame, b: DataFrame) -> list[DataFrame]:
     """``doc_x, t_x, n_x, hs`` of both sides: distinct hashes with their number."""
     out = []
     for side, s in ((a, "a"), (b, "b")):
-        hashes = side.select(F.col("doc").alias(f"doc_{s}"), F.col("n_tokens").alias(f"t_{s}"), F.array_distinct(F.transform("fps", lambda f: f["h"])).alias("hs"), F.size("fps").cast("long").alias(f"n_fp_{s}"))
+        own = side if "hs" in side.columns else hash_sets(side.withColumn("n_fp", F.size("fps").cast("long")))
+        hashes = own.select(F.col("doc").alias(f"doc_{s}"), F.col("n_tokens").alias(f"t_{s}"), "hs", F.col("n_fp").alias(f"n_fp_{s}"))
         out.append(hashes.withColumn(f"n_{s}", F.size("hs").cast("long")).where(F.col(f"n_{s}") > 0))
     return out
 
@@ -83,13 +91,26 @@ def matches_by_file(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, *,
     folder = postings.local_folder(a.sparkSession)
     if folder is None:
         return _by_joins(left, right, threshold, few, max_index_entries)
+    rows, entries = _rows(left, right, max_index_entries)
+    path = postings.build(rows[1], entries[1], folder)
+    return postings.matches(rows[0], entries[0], path, threshold, prefix=prefix, few_tokens=few, doc_b=b.schema["doc"].dataType.simpleString())
+
+
+def _rows(left: DataFrame, right: DataFrame, max_index_entries: int | None) -> tuple[list[DataFrame], list[int]]:
+    """``doc, n_fp, tokens, n, hs`` of both sides, as ``postings`` takes them, and the number of values."""
     index = right if max_index_entries is None else _capped(right, max_index_entries)
     rows = []
     for side, s in ((left, "a"), (index, "b")):
         rows.append(side.select(F.col(f"doc_{s}").alias("doc"), F.col(f"n_fp_{s}").alias("n_fp"), F.col(f"t_{s}").alias("tokens"), F.col(f"n_{s}").alias("n"), F.array_sort("hs").alias("hs")))
-    entries = [side.agg(F.sum(F.size("hs"))).first()[0] or 0 for side in rows]
-    path = postings.build(rows[1], entries[1], folder)
-    return postings.matches(rows[0], entries[0], path, threshold, prefix=prefix, few_tokens=few, doc_b=b.schema["doc"].dataType.simpleString())
+    return rows, [side.agg(F.sum(F.size("hs"))).first()[0] or 0 for side in rows]
+
+
+def _segments(rows: list[DataFrame], entries: list[int], folder: str) -> tuple[list[str], tuple[int, int]]:
+    """Folders of both sides for ``postings.pairs`` and the number of their segments."""
+    path_b, n_b = postings.build_even(rows[1], postings.SEGMENT_ENTRIES, folder, inverted=True)
+    tasks_a = math.ceil(2 * rows[0].sparkSession.sparkContext.defaultParallelism / max(1, n_b))
+    path_a, n_a = postings.build_even(rows[0], max(1, min(postings.TASK_ENTRIES, math.ceil(entries[0] / tasks_a))), folder, inverted=False)
+    return [path_a, path_b], (n_a, n_b)
 
 
 def _by_joins(left: DataFrame, right: DataFrame, threshold: float, few_tokens: int | None, max_index_entries: int | None) -> DataFrame:
@@ -110,8 +131,19 @@ def _by_joins(left: DataFrame, right: DataFrame, threshold: float, few_tokens: i
 
 
 def deep_matches(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD, *, normalize: bool = False, max_index_entries: int | None = None) -> DataFrame:
-    """``doc_a, doc_b, shared, jaccard, inconclusive`` of pairs at or above the (unrounded) threshold; see ``matches_by_file``."""
-    return matches_by_file(a, b, threshold, normalize=normalize, max_index_entries=max_index_entries).select("doc_a", F.inline("found"))
+    """``doc_a, doc_b, shared, jaccard, inconclusive`` of pairs at or above the (unrounded) threshold.
+
+    Each task counts a segment of A against one of B, so its rows hold few different names: the result takes a fifth of the disk of rows that mix all of B.
+    """
+    spark, few = a.sparkSession, INCONCLUSIVE_TOKENS if normalize else None
+    folder = postings.local_folder(spark)
+    left, right = _sides(a, b)
+    if folder is None:
+        return _by_joins(left, right, threshold, few, max_index_entries).select("doc_a", F.inline("found"))
+    rows, entries = _rows(left, right, max_index_entries)
+    paths, segments = _segments(rows, entries, folder)
+    kinds = tuple(side.schema["doc"].dataType.simpleString() for side in (a, b))
+    return postings.pairs(*paths, segments, spark, threshold, prefix=threshold >= PREFIX_FROM, few_tokens=few, kinds=kinds)
 
 
 def index_truncated(b: DataFrame, max_index_entries: int) -> bool:

@@ -2,7 +2,8 @@
 
 The index consists of segments, ranges of the right side's documents of about ``SEGMENT_ENTRIES`` values each, that tasks map into memory. A task reads
 whole sets of the left side and knows all pairs of each before it gives out a row. So pairs are neither shuffled nor
-written before they are results, and are in order within each left document.
+written before they are results, and are in order within each left document. Where all pairs are the result (``pairs``), both sides are
+segments and a task counts one against one: it gives out few different names, which column formats then store once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,15 +22,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators.skew import running_totals
 from tracewright.session import shared_dir
 
 #: Values of a segment, about; and of the left side per task, about.
 SEGMENT_ENTRIES, TASK_ENTRIES = 4_000_000, 400_000
+#: Bytes of a segment's names where all pairs are given out, so that Parquet's dictionary of 1 MiB (with 4 bytes a name) holds them.
+NAME_BYTES = 950_000
 #: Pairs of a batch that leaves a task (a document's pairs stay together), values gathered at once, and pairs that a task remembers for equal sets.
 BATCH_PAIRS, GATHERED, MEMO_PAIRS = 200_000, 2_000_000, 2_000_000
 FIELDS = ("hashes", "starts", "posts", "own_starts", "own", "sizes", "doc_starts", "docs", "tokens")
 
 
+#: What only the side that is looked up needs.
+INVERTED = ("starts", "posts")
+
+
 def local_folder(spark: SparkSession) -> str | None:
     """The shared folder as a path that every worker can map, or None if it is no mounted folder."""
     folder = shared_dir(spark)
@@ -77,34 +85,79 @@ def _segment(table: pa.Table) -> dict[str, np.ndarray]:
     }
 
 
+def _write(table: pa.Table, path: str, number: int, inverted: bool = True) -> None:
+    spot = os.path.join(path, f"{number:06d}")
+    part = f"{spot}.{uuid.uuid4().hex}"
+    os.makedirs(part)
+    for name, values in _segment(table).items():
+        if inverted or name not in INVERTED:
+            np.save(os.path.join(part, f"{name}.npy"), values)
+    with pa.OSFile(os.path.join(part, "names.arrow"), "wb") as out, pa.ipc.new_file(out, table.select(["doc"]).schema) as writer:
+        writer.write_table(table.select(["doc"]).combine_chunks())
+    try:
+        os.rename(part, spot)
+    except OSError:  # another attempt of the task was first
+        shutil.rmtree(part)
+
+
+def _new_folder(folder: str) -> str:
+    path = os.path.join(folder, f"postings-{uuid.uuid4().hex}")
+    os.makedirs(path, exist_ok=True)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def build(side: DataFrame, entries: int, folder: str) -> str:
     """Index of ``doc, tokens, n, hs`` (sets in order of their values, ``n`` their whole sizes); the folder that holds it."""
-    path = os.path.join(folder, f"postings-{uuid.uuid4().hex}")
+    path = _new_folder(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         if batches:
-            table = pa.Table.from_batches(batches)
-            spot = os.path.join(path, f"{TaskContext.get().partitionId():06d}")
-            part = f"{spot}.{uuid.uuid4().hex}"
-            os.makedirs(part)
-            for name, values in _segment(table).items():
-                np.save(os.path.join(part, f"{name}.npy"), values)
-            with pa.OSFile(os.path.join(part, "names.arrow"), "wb") as out, pa.ipc.new_file(out, table.select(["doc"]).schema) as writer:
-                writer.write_table(table.select(["doc"]).combine_chunks())
-            try:
-                os.rename(part, spot)
-            except OSError:  # another attempt of the task was first
-                shutil.rmtree(part)
+            _write(pa.Table.from_batches(batches), path, TaskContext.get().partitionId())
             yield pa.record_batch([pa.array([1])], names=["done"])
 
-    os.makedirs(path, exist_ok=True)
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
     rows = side.repartitionByRange(max(1, math.ceil(entries / SEGMENT_ENTRIES)), "doc").sortWithinPartitions("doc")
     rows.select("doc", "tokens", "n", "hs").mapInArrow(run, "done bigint").count()
     return path
 
 
+def build_even(side: DataFrame, entries: int, folder: str, *, inverted: bool) -> tuple[str, int]:
+    """Like ``build``, in segments of ``entries`` values and ``NAME_BYTES`` of names and one document more at most; the folder and their number.
+
+    Only names and sizes are summed up in order; the driver gets the first name of each segment.
+    """
+    path, unit = _new_folder(folder), 1_000_000_000
+    load = F.ceil(F.greatest(F.size("hs") / F.lit(entries), (F.octet_length(F.col("doc").cast("string")) + 4) / F.lit(NAME_BYTES)) * F.lit(unit)).cast("long")
+    total = running_totals(side.select("doc", load.alias("load")), "doc", {"total": "load"})
+    of = lambda c: F.floor((c - 1) / F.lit(unit))
+    first = total.withColumn("s", of(F.col("total"))).groupBy("s").agg(F.min("doc").alias("doc")).orderBy("doc").collect()
+    starts = F.array(*(F.lit(r["doc"]) for r in first[1:])) if first[1:] else None
+    number = F.lit(0) if starts is None else F.size(F.filter(starts, lambda x: x <= F.col("doc")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            numbers = batch.column("number").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                if held and numbers[x] != at:
+                    _write(pa.Table.from_batches(held), path, at, inverted)
+                    held = []
+                at = int(numbers[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            _write(pa.Table.from_batches(held), path, at, inverted)
+        yield pa.record_batch([pa.array([1])], names=["done"])
+
+    rows = side.select("doc", "tokens", "n", "hs", number.cast("long").alias("number")).repartition(max(1, len(first)), "number").sortWithinPartitions("number", "doc")
+    rows.mapInArrow(run, "done bigint").count()
+    return path, len(first)
+
+
 class Index:
     """The segments of a folder, in order of their documents."""
 
@@ -120,18 +173,27 @@ class Index:
 
     def matches(self, h: np.ndarray, n: int, threshold: float, prefix: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Documents that share a value of ``h`` (whole size ``n``) and reach the threshold, the best first: number, shared values, Jaccard."""
-        found = []
-        for s, offset in zip(self.segments, self.offsets, strict=False):
-            classes, shared = _shared(s, h, n, threshold, prefix)
-            jaccard = shared / (n + s["sizes"][classes] - shared)
-            keep = jaccard >= threshold
-            classes, shared, jaccard = classes[keep], shared[keep], jaccard[keep]
-            starts = s["doc_starts"][classes]
-            copies = s["doc_starts"][classes + 1] - starts
-            found.append((s["docs"][_spans(starts, copies)] + offset, np.repeat(shared, copies), np.repeat(jaccard, copies)))
-        docs, shared, jaccard = (np.concatenate([*x]) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        order = np.lexsort((docs, -shared, -jaccard))
-        return docs[order], shared[order], jaccard[order]
+        return _best_first([(offset, s, *_reaching(s, h, n, threshold, prefix)) for s, offset in zip(self.segments, self.offsets, strict=False)])
+
+
+def _reaching(s: dict[str, np.ndarray], h: np.ndarray, n: int, threshold: float, prefix: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of a segment at or above the threshold, shared values, Jaccard."""
+    classes, shared = _shared(s, h, n, threshold, prefix)
+    jaccard = shared / (n + s["sizes"][classes] - shared)
+    keep = jaccard >= threshold
+    return classes[keep], shared[keep], jaccard[keep]
+
+
+def _best_first(segments: list[tuple[int, dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of classes of segments (number of their first document, segment, classes, shared, Jaccard), the best first."""
+    found = []
+    for offset, s, classes, shared, jaccard in segments:
+        starts = s["doc_starts"][classes]
+        copies = s["doc_starts"][classes + 1] - starts
+        found.append((s["docs"][_spans(starts, copies)] + offset, np.repeat(shared, copies), np.repeat(jaccard, copies)))
+    docs, shared, jaccard = (np.concatenate([*x]) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    order = np.lexsort((docs, -shared, -jaccard))
+    return docs[order], shared[order], jaccard[order]
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -192,6 +254,60 @@ def _index(path: str) -> Index:
     return Index(path)
 
 
+@lru_cache(maxsize=2)
+def _one(path: str, number: int) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """A segment and its names; no other is opened."""
+    spot = os.path.join(path, f"{number:06d}")
+    names = pa.ipc.open_file(pa.memory_map(os.path.join(spot, "names.arrow"))).read_all()["doc"].combine_chunks()
+    return {f: np.load(at, mmap_mode="r") for f in FIELDS if os.path.exists(at := os.path.join(spot, f"{f}.npy"))}, names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+
+
+def pairs(left: str, right: str, segments: tuple[int, int], spark: SparkSession, threshold: float, *, prefix: bool, few_tokens: int | None, kinds: tuple[str, str]) -> DataFrame:
+    """``doc_a, doc_b, shared, jaccard, inconclusive`` of all pairs at or above the threshold, from two folders of ``build_even``; a task has a segment of each.
+
+    The pairs of a document with a segment are together, the best first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in (x for batch in batches for x in batch.column("id").to_pylist()):
+            (a, names_a), (b, names_b) = _one(left, task // segments[1]), _one(right, task % segments[1])
+
+            def found(h: np.ndarray, n: int, b=b) -> tuple[np.ndarray, ...]:
+                return _best_first([(0, b, *_reaching(b, h, n, threshold, prefix))])
+
+            for at, docs, shared, jaccard in _by_class(a, found):
+                fewest = np.minimum(a["tokens"][at], b["tokens"][docs])
+                doubt = (fewest >= 0) & (fewest < few_tokens) if few_tokens is not None else np.zeros(len(docs), bool)
+                columns = [names_a.take(pa.array(at)), names_b.take(pa.array(docs)), pa.array(shared), pa.array(jaccard), pa.array(doubt)]
+                yield pa.record_batch(columns, names=["doc_a", "doc_b", "shared", "jaccard", "inconclusive"])
+
+    return _tasks(spark, segments).mapInArrow(run, f"doc_a {kinds[0]}, doc_b {kinds[1]}, shared bigint, jaccard double, inconclusive boolean")
+
+
+def _tasks(spark: SparkSession, segments: tuple[int, int]) -> DataFrame:
+    """``id`` of each segment against each, one a task."""
+    many = segments[0] * segments[1]
+    return spark.range(0, many, 1, 1).repartition(max(1, many))
+
+
+def _by_class(a: dict[str, np.ndarray], found: Callable[[np.ndarray, int], tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Documents of a segment beside each of what is ``found`` for their sets, in batches; equal sets are looked for once."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    waiting = 0
+    for c in range(len(a["sizes"])):
+        rows = found(a["hashes"][a["own"][a["own_starts"][c] : a["own_starts"][c + 1]]], int(a["sizes"][c]))
+        for doc in a["docs"][a["doc_starts"][c] : a["doc_starts"][c + 1]]:
+            for x in range(0, len(rows[0]), BATCH_PAIRS):
+                part = [r[x : x + BATCH_PAIRS] for r in rows]
+                parts.append((np.full(len(part[0]), doc), *part))
+                waiting += len(part[0])
+                if waiting >= BATCH_PAIRS:
+                    yield tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+                    parts, waiting = [], 0
+    if parts:
+        yield tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def matches(side: DataFrame, entries: int, path: str, threshold: float, *, prefix: bool, few_tokens: int | None, doc_b: str) -> DataFrame:
     """``doc_a, n_fp, found`` of the rows ``doc, n_fp, tokens, n, hs`` with a match: array of ``doc_b, shared, jaccard, inconclusive``, the best first.
 

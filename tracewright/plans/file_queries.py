@@ -90,14 +90,17 @@ def deep_sets(spark, sf, normalize=False) -> DataFrame:
     return deep.fingerprint_sets(docs.select(F.struct("side", "rel_path").alias("doc"), "content"), "doc", "content", normalize=normalize)
 
 
+def deep_sides(spark, sf, normalize=False) -> list[DataFrame]:
+    sets = cut(deep.hash_sets(deep_sets(spark, sf, normalize)))
+    return [sets.where(F.col("doc.side") == s).withColumn("doc", F.col("doc.rel_path")) for s in "AB"]
+
+
 def deep_by_file(spark, sf, threshold=deep.THRESHOLD, normalize=False) -> DataFrame:
-    sets = cut(deep_sets(spark, sf, normalize))
-    a, b = (sets.where(F.col("doc.side") == s).withColumn("doc", F.col("doc.rel_path")) for s in "AB")
-    return deep.matches_by_file(a, b, threshold, normalize=normalize)
+    return deep.matches_by_file(*deep_sides(spark, sf, normalize), threshold, normalize=normalize)
 
 
 def q_deep_matches(spark, sf):
-    return deep_by_file(spark, sf).select("doc_a", F.inline("found")).drop("inconclusive")
+    return deep.deep_matches(*deep_sides(spark, sf)).drop("inconclusive")
 
 
 def q_deep_matches_normalized(spark, sf):
