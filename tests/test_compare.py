@@ -193,3 +193,15 @@ def test_deep_matches_gives_each_task_few_names(spark, monkeypatch):
     assert {(r.doc_a, r.doc_b) for r in found.collect()} == want and found.count() == len(want)
     assert deep.hash_sets(a).columns == ["doc", "n_tokens", "n_fp", "hs"]
     assert {tuple(r) for r in deep.deep_matches(deep.hash_sets(a), b, 0.05).collect()} == {tuple(r) for r in found.drop("part").collect()}
+
+
+def test_deep_ranked_gives_each_task_few_names_and_ranks_over_all_of_b(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = lambda s, n: [(f"{s}{i:03d}", rng.sample(range(40), rng.randint(1, 20)), 50) for i in range(n)]
+    a, b = sets(spark, rows("a", 25)), sets(spark, [*rows("b", 50), *((f"c{i}", [1, 2, 3], 50) for i in range(60))])
+    want = {(r.doc_a, r.match_rank, r.doc_b, r.j) for r in deep.ranked(deep.deep_matches(a, b, 0.05)).withColumn("j", F.round("jaccard", 4)).collect()}
+    monkeypatch.setattr(postings, "NAME_BYTES", 200)
+    found = deep.deep_ranked(a, b, 0.05).withColumn("part", F.spark_partition_id()).collect()
+    assert {tuple(r)[:4] for r in found} == want and len(found) == len(want)
+    for part in {r.part for r in found}:
+        assert sum(len(x) + 4 for x in {r.doc_b for r in found if r.part == part}) <= 200 + 8
